@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,10 +56,32 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _let_workers_import(spark: SparkSession) -> None:
+    """Python workers find this package where the driver found it, if it isn't installed there."""
+    env = spark.sparkContext.environment
+    root = str(Path(__file__).resolve().parents[2])
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([p for p in paths if p] + [root])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    _let_workers_import(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone; other letters stay as they are."""
     return F.translate(text, _UPPER, _UPPER.lower())
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out

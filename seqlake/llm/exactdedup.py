@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize
+from .common import ascii_lower, fresh, materialize
 
 PREFIX_CHARS = 64
 
@@ -117,22 +117,19 @@ def exact_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that :func:`exact_groups` keeps, with all their columns."""
-    norm = _normalised(F.col(text_col))
+    gone_id, gone_sha, stays, copies = fresh(docs, "_gone_id", "_gone_sha", "_stays", "_copies")
     dropped = materialize(
         exact_groups(docs, id_col, text_col)
         .where("group_size > 1")
-        .groupBy("sha256", F.col("id").alias("_gone_id"))
-        .agg(F.max(F.col("kept").cast("int")).alias("_stays"), F.count("*").alias("_copies"))
-        .where("_stays = 0 or _copies > 1")
-        .withColumnRenamed("sha256", "_gone_sha"),
+        .groupBy(F.col("sha256").alias(gone_sha), F.col("id").alias(gone_id))
+        .agg(F.max(F.col("kept").cast("int")).alias(stays), F.count("*").alias(copies))
+        .where((F.col(stays) == 0) | (F.col(copies) > 1)),
         "exact-dropped",
     )
     # A dropped row is known by id and digest; ids alone could repeat over different texts.
-    tagged = docs.join(
-        dropped,
-        docs[id_col].eqNullSafe(dropped["_gone_id"]) & (F.sha2(_normalised(docs[text_col]), 256) == dropped["_gone_sha"]),
-        "left",
-    )
-    single = tagged.where("_gone_sha is null").select(*[docs[c] for c in docs.columns])
-    repeated = tagged.where("_stays = 1").select(*[docs[c] for c in docs.columns], "_gone_sha").dropDuplicates(["_gone_sha", id_col]).drop("_gone_sha")
+    same = docs[id_col].eqNullSafe(dropped[gone_id]) & (F.sha2(_normalised(docs[text_col]), 256) == dropped[gone_sha])
+    tagged = docs.join(dropped, same, "left")
+    own = [docs[c] for c in docs.columns]
+    single = tagged.where(F.col(gone_sha).isNull()).select(*own)
+    repeated = tagged.where(F.col(stays) == 1).select(*own, gone_sha).dropDuplicates([gone_sha, id_col]).drop(gone_sha)
     return single.unionByName(repeated)

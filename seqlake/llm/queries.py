@@ -11,6 +11,8 @@ from .common import table
 from .exactdedup import exact_digests
 from .langid import predict, train
 from .packing import pack, token_pieces
+from .quality import classify
+from .urls import MAX_STRENGTH, MIN_STRENGTH, BLOCK_ABOVE, Z, host_of, host_reputation, judge_urls, path_of
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +32,64 @@ SELECT doc_id, keep_id, group_size, i = 1 AS kept, s AS text_sha256 FROM r
 """
 
 
+def labelled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes ``host, bad`` of the pages whose document (the number in their path) has labels."""
+    pages = table(spark, sf_dir, "pages")
+    named = pages.select(host_of(F.col("url")).alias("host"), F.regexp_extract(path_of(F.col("url")), "/([0-9]+)", 1).try_cast("long").alias("doc_id")).where("doc_id is not null")
+    bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad")
+    return named.join(table(spark, sf_dir, "labels").select("doc_id", bad), "doc_id").select("host", "bad")
+
+
+def op3_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_urls(table(spark, sf_dir, "pages"), host_reputation(labelled_pages(spark, sf_dir)))
+    return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+_LEVEL_SQL = """
+  SELECT CASE WHEN rho > 0 THEN least({most}, greatest({least}, (1 - rho) / rho)) ELSE {most} END AS strength, share FROM (
+    SELECT share, CASE WHEN room > 0 THEN (spread - v * (g - 1)) / room ELSE 0 END AS rho FROM (
+      SELECT share, v, g, w - t * share * share AS spread, v * (t - q / t - (g - 1)) AS room FROM (
+        SELECT *, share * (1 - share) AS v FROM (
+          SELECT sum(bad) / sum(n) AS share, sum(n)::DOUBLE AS t, count(*) AS g, sum(n::DOUBLE * n) AS q,
+                 sum(n * (bad / n) * (bad / n)) AS w FROM {level}))))
+"""
+OP3_SQL = f"""
+WITH u AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages
+), p AS (
+  SELECT page_id,
+         translate(coalesce(regexp_extract(rest, '^[^/?#]*', 0), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u
+), o AS (
+  SELECT host, CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NULL OR toxic IS NULL THEN NULL ELSE 0 END AS bad
+  FROM p JOIN labels ON doc_id = try_cast(regexp_extract(path, '/([0-9]+)', 1) AS BIGINT)
+), h AS (
+  SELECT host, list_aggregate(string_split(host, '.')[-2:], 'string_agg', '.') AS domain, string_split(host, '.')[-1] AS suffix,
+         count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM o WHERE bad IS NOT NULL GROUP BY host
+), d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
+s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL),
+ls AS ({_LEVEL_SQL.format(level="s", most=MAX_STRENGTH, least=MIN_STRENGTH)}),
+ld AS ({_LEVEL_SQL.format(level="d", most=MAX_STRENGTH, least=MIN_STRENGTH)}),
+lh AS ({_LEVEL_SQL.format(level="h", most=MAX_STRENGTH, least=MIN_STRENGTH)}),
+ps AS (SELECT suffix, (bad + strength * share) / (n + strength) AS above FROM s, ls),
+pd AS (SELECT domain, (bad + strength * above) / (n + strength) AS above FROM d JOIN ps USING (suffix), ld),
+ph AS (SELECT host, (bad + strength * above) / (n + strength) AS mean, n + strength AS size FROM h JOIN pd USING (domain), lh),
+r AS (SELECT host, mean - {Z} * sqrt(mean * (1 - mean) / (size + 1)) AS low FROM ph),
+j AS (
+  SELECT page_id, p.host, path, low, CASE
+    WHEN (p.host = 'example.com' OR p.host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+    WHEN (p.host = 'example.net' OR p.host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+    WHEN (p.host = 'org' OR p.host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+    WHEN (p.host = 'net' OR p.host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule
+  FROM p LEFT JOIN r ON p.host = r.host
+)
+SELECT page_id, host, path, rule, CASE
+  WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+  WHEN low > {BLOCK_ABOVE} THEN 'block' ELSE 'allow' END AS verdict
+FROM j
+"""
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out.alias("held_out"))
@@ -48,13 +108,24 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces).withColumnRenamed("id", "doc_id")
 
 
+def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return classify(docs, trusted_ids(spark, sf_dir)).drop("text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_host_reputation": op3_host_reputation,
         "op4_language_id": op4_language_id,
         "op7_exact_dedup": op7_exact_dedup,
         "op9_best_fit_packing": op9_best_fit_packing,
+        "op10_quality_classifier": op10_quality_classifier,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL}
+    return {"op3_host_reputation": OP3_SQL, "op7_exact_dedup": OP7_SQL}
