@@ -11,6 +11,7 @@ from .common import table
 from .exactdedup import exact_digests
 from .langid import predict, train
 from .packing import pack, token_pieces
+from .pii import BASE, find_spans, fit, span_text
 from .quality import classify
 from .urls import MAX_STRENGTH, MIN_STRENGTH, BLOCK_ABOVE, Z, host_of, host_reputation, judge_urls, path_of
 
@@ -32,6 +33,14 @@ SELECT doc_id, keep_id, group_size, i = 1 AS kept, s AS text_sha256 FROM r
 """
 
 
+def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_spans(docs, fit(docs))
+    kinds = F.transform("base_spans", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in BASE]
+    return found.select("doc_id", *counts, F.sha2(span_text(F.col("base_spans")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+
 def labelled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes ``host, bad`` of the pages whose document (the number in their path) has labels."""
     pages = table(spark, sf_dir, "pages")
@@ -119,6 +128,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii_spans": op1_pii_spans,
         "op3_host_reputation": op3_host_reputation,
         "op4_language_id": op4_language_id,
         "op7_exact_dedup": op7_exact_dedup,
