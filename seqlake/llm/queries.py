@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .embdedup import similar_vectors
 from .exactdedup import exact_digests
+from .jaccard import similar_components
 from .langid import predict, train
 from .packing import pack, token_pieces
 from .pii import BASE, find_spans, fit, span_text
@@ -112,6 +114,32 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+# Pairs within a label, which the hashing finds with a recall of almost one on these tables.
+OP6_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), r AS (
+  SELECT vec_id, vec_id AS o FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.o = l.a
+), c AS (SELECT vec_id, min(o) AS component_id FROM r GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
+"""
+
+
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_components(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = token_pieces(table(spark, sf_dir, "documents"), word_vocabulary())
     return pack(pieces).withColumnRenamed("id", "doc_id")
@@ -131,11 +159,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pii_spans": op1_pii_spans,
         "op3_host_reputation": op3_host_reputation,
         "op4_language_id": op4_language_id,
+        "op6_embedding_near_dedup": op6_embedding_near_dedup,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_quality_classifier": op10_quality_classifier,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_host_reputation": OP3_SQL, "op7_exact_dedup": OP7_SQL}
+    return {"op3_host_reputation": OP3_SQL, "op6_embedding_near_dedup": OP6_SQL, "op7_exact_dedup": OP7_SQL}
