@@ -15,6 +15,7 @@ from .langid import predict, train
 from .packing import pack, token_pieces
 from .pii import BASE, find_spans, fit, span_text
 from .quality import classify
+from .warc import archive_pages
 from .urls import MAX_STRENGTH, MIN_STRENGTH, BLOCK_ABOVE, Z, host_of, host_reputation, judge_urls, path_of
 
 
@@ -114,6 +115,21 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = archive_pages(table(spark, sf_dir, "pages"))
+    return index.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+h AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) END AS holder FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN holder IS NOT NULL AND holder IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN holder IS DISTINCT FROM page_id THEN holder END AS refers_to
+FROM h
+"""
+
+
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
@@ -159,6 +175,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pii_spans": op1_pii_spans,
         "op3_host_reputation": op3_host_reputation,
         "op4_language_id": op4_language_id,
+        "op5_warc_index": op5_warc_index,
         "op6_embedding_near_dedup": op6_embedding_near_dedup,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_ngram_jaccard": op8_ngram_jaccard,
@@ -168,4 +185,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_host_reputation": OP3_SQL, "op6_embedding_near_dedup": OP6_SQL, "op7_exact_dedup": OP7_SQL}
+    return {"op3_host_reputation": OP3_SQL, "op5_warc_index": OP5_SQL, "op6_embedding_near_dedup": OP6_SQL, "op7_exact_dedup": OP7_SQL}
