@@ -257,7 +257,7 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
     id_, digest, loss, error, lang, limit = fresh(clean, "_id", "_digest", "_loss", "_error", "_lang", "_limit")
     own_digest = fresh(clean, "_own_digest")[0]
     trusted_ids = trusted_ids.select(F.col("id").alias(id_)).where(F.col(id_).isNotNull()).distinct()
-    model = train(docs.select(F.col(id_col).alias(id_), F.col(text_col).alias("text")).join(trusted_ids, id_, "left_semi"))
+    model = train(docs.select(F.col(id_col).alias(id_), F.col(text_col).alias("text")).join(trusted_ids.hint("merge"), id_, "left_semi"))
     scored = log_perplexity(docs, model, id_col, text_col)
     losses = materialize(scored.select(F.col("id").alias(id_), F.col("digest").alias(digest), F.col("loss").alias(loss), F.col("error").alias(error)), "lm-losses")
     langs = docs.select(F.col(id_col).alias(id_), F.xxhash64(text_col).alias(digest), F.col(lang_col).alias("lang"))
@@ -265,7 +265,7 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
     by_lang, pooled = thresholds(materialize(seen, "lm-trusted"), high, spread)
     limits = materialize(by_lang.select(F.col("lang").alias(lang), F.col("limit").alias(limit)), "lm-limits")
     keyed = clean.withColumn(own_digest, F.xxhash64(text_col))
-    judged = keyed.join(losses, keyed[id_col].eqNullSafe(losses[id_]) & (keyed[own_digest] == losses[digest]), "left").join(limits, keyed[lang_col] == limits[lang], "left")
+    judged = keyed.join(losses.hint("merge"), keyed[id_col].eqNullSafe(losses[id_]) & (keyed[own_digest] == losses[digest]), "left").join(limits, keyed[lang_col] == limits[lang], "left")
     most = F.coalesce(limit, F.lit(pooled).cast("double"))
     kept = F.when(F.col(loss).isNull(), F.lit(False)).otherwise(F.coalesce(F.col(loss) - CERTAIN * F.col(error) <= most, F.lit(True)))
     return judged.select(*[keyed[c] for c in clean.columns], F.exp(loss).alias("perplexity"), F.exp(most).alias("perplexity_limit"), kept.alias("kept"))
