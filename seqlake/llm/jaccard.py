@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import fresh, materialize
 from .components import connected_components
 from .shingles import mix, shingle_sets
+from .textbuf import slices
 
 WIDTH, PERCENT, ORDERS = 5, 75, 3
 #: log2 of the cells of the sketch of single tokens (2 bits each: 64 MB) and of the sketch of
@@ -118,7 +119,7 @@ def _profile(width: int):
             k = len(blobs)
             yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64())] * 4 + [pa.array(range(k), pa.int32()), pa.array(blobs, pa.binary())], names)
 
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(0).to_pylist()
             for first, sizes, hashes in shingle_sets(_texts(batch.column(1)), width):
                 h1, h2 = _digests(sizes, hashes)
@@ -204,7 +205,7 @@ def _leaders(shared, width: int, percent: int):
             if pairs.shape[1]:
                 yield pa.RecordBatch.from_arrays([pa.nulls(pairs.shape[1], pa.int64()), pa.array(pairs[0]), pa.array(pairs[1])], names)
 
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(0).to_numpy()
             for first, sizes, hashes in shingle_sets(_texts(batch.column(1)), width):
                 own, token = _prefixes(sizes, hashes, sketch, 0, percent)
@@ -224,7 +225,7 @@ def _members(shared, width: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(0).to_numpy()
             for first, sizes, hashes in shingle_sets(_texts(batch.column(1)), width):
                 own, token = _prefixes(sizes, hashes, sketch, 0, percent)
@@ -253,7 +254,7 @@ def _verify(shared, width: int, percent: int):
             both = len(np.intersect1d(a, b, assume_unique=True))
             return 100 * both >= percent * (len(a) + len(b) - both)
 
-        for batch in batches:
+        for batch in slices(batches):
             keep = [linked(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbuf import buffers
+from .textbuf import buffers, slices
 
 #: Buckets of the hash, longest n-gram, and languages that a model may hold: the broadcast
 #: matrix has at most MAX_LANGUAGES * 2**BITS doubles (64 MB).
@@ -53,7 +53,7 @@ def _encode(texts: list[str]) -> list[bytes]:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[str, np.ndarray] = {}
     rows: dict[str, int] = {}
-    for batch in batches:
+    for batch in slices(batches):
         by: dict[str, list[str]] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             by.setdefault(lang, []).append(text)
@@ -101,7 +101,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learned = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(at).to_pylist()
             real = [i for i, t in enumerate(texts) if t is not None and _LETTER.search(t)] if learned.languages else []
             sums = np.tile(learned.log_prior, (len(real), 1))

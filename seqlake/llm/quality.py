@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, materialize
-from .textbuf import buffers
+from .textbuf import buffers, slices
 
 ORDER = 5
 #: Entries of a broadcast shard (16 bytes each in a table that is at most half full: 128 MB).
@@ -54,7 +54,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def handed(pair: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["gram", "n"])
 
-    for batch in batches:
+    for batch in slices(batches):
         texts = [t.encode("utf-8", "replace") for t in batch.column(0).to_pylist()]
         for buf in buffers(texts, 1, ORDER - 1, _PAD):
             held.append(np.unique(_packed(buf.units, buf.ends()), return_counts=True))
@@ -215,7 +215,7 @@ def log_perplexity(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", te
 def _scorer(shared):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, own, alone = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t.encode("utf-8", "replace") for t in batch.column(2).to_pylist()]
             units, nats, squares = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts))
             for buf in buffers(texts, 1, ORDER - 1, _PAD):

@@ -12,6 +12,7 @@ from .embdedup import similar_vectors
 from .exactdedup import exact_digests
 from .jaccard import similar_components
 from .langid import predict, train
+from .mixing import Domains, learn_domains, mix
 from .packing import pack, token_pieces
 from .pii import BASE, find_spans, fit, span_text
 from .quality import classify
@@ -44,6 +45,26 @@ def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(span_text(F.col("base_spans")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
 
 
+#: Shares of tokens that documents of each kind shall have.
+TARGET_WEIGHTS = {"good": 0.97, "low": 0.02, "toxic": 0.01}
+
+
+def label_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Domains:
+    """Classifier of the kinds that ``labels`` tells apart, learned from labelled rows of ``docs``."""
+    kind = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "good")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_doc"), kind.alias("domain")).where("domain is not null")
+    # One kind for a document with several labels, and only about as many rows as are fitted on.
+    labels = labels.groupBy("_doc").agg(F.min("domain").alias("domain"))
+    labelled = docs.select("doc_id", "text").join(labels.hint("merge"), F.col("doc_id") == F.col("_doc"))
+    return learn_domains(labelled)
+
+
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    mixed = mix(docs, label_domains(spark, docs, sf_dir), TARGET_WEIGHTS)
+    return mixed.select("doc_id", "tokens", "posterior", "rate", "copies")
+
+
 def labelled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes ``host, bad`` of the pages whose document (the number in their path) has labels."""
     pages = table(spark, sf_dir, "pages")
@@ -173,6 +194,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii_spans": op1_pii_spans,
+        "op2_source_mixing": op2_source_mixing,
         "op3_host_reputation": op3_host_reputation,
         "op4_language_id": op4_language_id,
         "op5_warc_index": op5_warc_index,

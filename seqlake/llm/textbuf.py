@@ -5,9 +5,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: Units (characters or bytes) that one buffer holds at most, besides separators.
-BUFFER_UNITS = 1 << 20
+BUFFER_UNITS = 1 << 18
+
+
+#: Rows of an Arrow batch whose texts are Python objects at the same time.
+SLICE_ROWS = 512
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in short pieces, so that few texts are copied at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
 
 
 class Buffer:
