@@ -7,6 +7,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqlake.errors import Corruption
 from seqlake.model import BATCH_MARKER
@@ -89,12 +90,12 @@ def read_slice(data: bytes, at: int = 0) -> tuple[bytes, int]:
     return data[at : at + size], at + size
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def varint_column(numbers: pd.Series) -> pd.Series:
     return numbers.map(lambda n: None if pd.isna(n) else varint(int(n)))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def read_varint_column(data: pd.Series) -> pd.Series:
     return data.map(lambda b: None if b is None else read_varint(bytes(b))[0]).astype("Int64")
 
@@ -127,7 +128,7 @@ def rle_decode(data: bytes, expected: int) -> bytes:
     return bytes(out)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def rle_column(data: pd.Series) -> pd.Series:
     return data.map(lambda b: None if b is None else rle_encode(bytes(b)))
 
