@@ -26,7 +26,7 @@ PER_DOMAIN, VOCABULARY, LEAST_DOCS = 2000, 256, 8
 #: as common there as in the others.
 SHARE, LIFT = 0.01, 50.0
 #: Steps at most, and the relative residual at which they end.
-STEPS, TOLERANCE = 60, 1e-3
+STEPS, TOLERANCE = 80, 1e-3
 _NONE = "#none"
 _BREAKS = r"[\s.,;:!?()\"']+"
 _MARKS = "!#$%&*+/<=>@[]^_{|}~"
@@ -136,24 +136,26 @@ def _rate(posterior: str, steps: list[list[float]]) -> Column:
 def fit_rates(compact: DataFrame, targets: list[float], tokens: str = "tokens", posterior: str = "posterior") -> list[list[float]]:
     """Steps that lead the rates of ``compact`` to expected domain totals near ``targets``.
 
-    Squared residuals are weighted by the inverse row sums of the moment matrix, under which
-    a step of length one never overshoots. Ends when the residual is small or stays.
+    Squared residuals are weighted by the inverse row sums of the moment matrix of those
+    documents whose rate isn't zero, under which a step of length one doesn't overshoot
+    (posteriors add up to one, so these row sums are first moments). Ends when the residual is
+    small or stays.
     """
     k = len(targets)
     t, p = F.col(tokens), F.col(posterior)
-    moments = compact.agg(*[F.sum(t * p[i]).alias(f"m{i}") for i in range(k)]).first()
-    scale = [m or 0.0 for m in moments]  # posteriors add up to one, so row sums are first moments
     steps: list[list[float]] = []
     whole, before = sum(targets) or 1.0, math.inf
     for _ in range(STEPS):
-        rate = _rate(posterior, steps)
-        sums = compact.agg(*[F.sum(t * p[i] * rate).alias(f"s{i}") for i in range(k)]).first()
-        residual = [(s or 0.0) - goal for s, goal in zip(sums, targets, strict=True)]
+        rate = F.col("_rate")
+        totals = [F.sum(t * p[i] * rate).alias(f"s{i}") for i in range(k)]
+        moments = [F.sum(F.when(rate > 0, t * p[i])).alias(f"m{i}") for i in range(k)]
+        sums = compact.withColumn("_rate", _rate(posterior, steps)).agg(*totals, *moments).first()
+        residual = [(sums[f"s{i}"] or 0.0) - goal for i, goal in enumerate(targets)]
         size = sum(map(abs, residual)) / whole
-        if size < TOLERANCE or size > before * (1 - TOLERANCE):
+        if size < TOLERANCE or abs(size - before) < TOLERANCE * size:
             break
         before = size
-        steps.append([r / s if s else 0.0 for r, s in zip(residual, scale, strict=True)])
+        steps.append([r / sums[f"m{i}"] if sums[f"m{i}"] else 0.0 for i, r in enumerate(residual)])
     return steps
 
 

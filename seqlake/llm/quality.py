@@ -199,11 +199,13 @@ def log_perplexity(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", te
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text")).where(F.length("text") > 0)
     parts = []
     pairs = shards(model, entries)
-    for own in pairs:
+    rest = np.array(sorted(p for own in pairs[1:] for p in own), np.int64)
+    for i, own in enumerate(pairs):
         entry = model.where(_pair(F.col("key")).isin(-1, *own)) if len(pairs) > 1 else model
         got = entry.select("key", "value").toArrow()
         loaded = Table(got["key"].to_numpy(), got["value"].to_numpy())
-        shared = spark.sparkContext.broadcast((loaded, np.array(sorted(own), np.int64), len(pairs) == 1))
+        # The first shard also has the pairs that no entry ends in.
+        shared = spark.sparkContext.broadcast((loaded, np.array(sorted(own), np.int64) if i else rest, bool(i)))
         parts.append(rows.mapInArrow(_scorer(shared), f"id {rows.schema['id'].dataType.simpleString()}, digest long, units long, nats double, squares double"))
     # Every shard has a row for each row of docs, so sums over copies are divided by their number.
     copies = F.count("*") / len(pairs)
@@ -214,16 +216,15 @@ def log_perplexity(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", te
 
 def _scorer(shared):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, own, alone = shared.value
+        model, listed, own = shared.value
         for batch in slices(batches):
             texts = [t.encode("utf-8", "replace") for t in batch.column(2).to_pylist()]
             units, nats, squares = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts))
             for buf in buffers(texts, 1, ORDER - 1, _PAD):
                 grams = _packed(buf.units, buf.ends())
                 owner = np.repeat(buf.owner, np.diff(buf.starts))
-                if not alone:
-                    pair = (grams >> 8) & 0xFFFF
-                    mine = np.isin(pair, own)
+                if own or len(listed):
+                    mine = np.isin((grams >> 8) & 0xFFFF, listed, invert=not own)
                     grams, owner = grams[mine], owner[mine]
                 units += np.bincount(owner, minlength=len(texts))
                 cost = -_log_probs(grams, model)

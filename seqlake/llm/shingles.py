@@ -68,7 +68,7 @@ def _sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     owner = np.searchsorted(ends_at, starts, side="right")
     count = np.bincount(owner, minlength=len(texts))
     hashes = np.zeros(len(words), np.uint64)
-    for k in range(width):
+    for k in range(min(width, len(words))):
         hashes[: len(words) - k] += mix(words[k:], k + 1)
     whole = np.flatnonzero(owner[: len(words) - width + 1] == owner[width - 1 :]) if len(words) >= width else np.zeros(0, np.int64)
     hashes, owners = mix(hashes[whole]), owner[whole]
