@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, fresh, materialize
+from .common import fresh, materialize
 
 #: Labelled documents of a domain that the classifier is fitted on, about, and its features.
 PER_DOMAIN, VOCABULARY, LEAST_DOCS = 2000, 256, 8
@@ -29,8 +29,6 @@ SHARE, LIFT = 0.01, 50.0
 STEPS, TOLERANCE = 80, 1e-3
 _NONE = "#none"
 _BREAKS = r"[\s.,;:!?()\"']+"
-_MARKS = "!#$%&*+/<=>@[]^_{|}~"
-_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 @dataclass
@@ -43,16 +41,9 @@ class Domains:
     weights: list[list[float]]  # [domain][feature]
 
 
-def _features(text: Column) -> Column:
-    """Distinct lower-case words, and marks for the shape of the text."""
-    lower = ascii_lower(text)
-    n = F.length(text)
-    some = n > 0
-    flags = F.array(
-        F.when(some & (F.length(F.translate(text, _CAPITALS, "")) < 0.7 * n), "#capitals"),
-        F.when(some & (F.length(F.translate(text, _MARKS, "")) < 0.97 * n), "#marks"),
-    )
-    return F.array_union(F.split(lower, _BREAKS), flags)
+def _words(text: Column) -> Column:
+    """Lower-case words without the punctuation between them."""
+    return F.split(F.lower(text), _BREAKS)
 
 
 def _known(features: Column, listed: Column) -> Column:
@@ -62,16 +53,15 @@ def _known(features: Column, listed: Column) -> Column:
 
 
 def _tokens(text: Column) -> Column:
-    """White-space tokens: breaks between them, and one more."""
-    bare = F.trim(F.translate(text, "\t\n\r", "   "))
-    return F.when(bare == "", 0).otherwise(F.size(F.split(bare, " +"))).cast("long")
+    """Number of words."""
+    return F.size(F.array_remove(_words(text), "")).cast("long")
 
 
 def learn_domains(labelled: DataFrame, text_col: str = "text", domain_col: str = "domain", id_col: str = "doc_id", per_domain: int = PER_DOMAIN, vocabulary: int = VOCABULARY) -> Domains:
     """Fit the classifier on about ``per_domain`` documents of each domain, chosen by hash.
 
     Rows with a null domain teach nothing; a null text is empty; copies count once. The features are the words
-    (and shapes) whose presence differs most between a domain and the others.
+    whose presence differs most between a domain and the others.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(domain_col).alias("domain"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("domain is not null")
     sizes = {r["domain"]: r["count"] for r in rows.groupBy("domain").count().collect()}
@@ -82,7 +72,7 @@ def learn_domains(labelled: DataFrame, text_col: str = "text", domain_col: str =
     for name in names:
         part = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < max(1, int(1_000_000 * min(1.0, per_domain / sizes[name])))
         kept = kept | ((F.col("domain") == name) & part)
-    sample = materialize(rows.where(kept).select("domain", _features(F.col("text")).alias("features")).distinct(), "mix-sample")
+    sample = materialize(rows.where(kept).select("domain", F.array_distinct(_words(F.col("text"))).alias("features")).distinct(), "mix-sample")
     docs = {r["domain"]: r["count"] for r in sample.groupBy("domain").count().collect()}
     total = sum(docs.values())
     by_domain = [F.count(F.when(F.col("domain") == name, 1)).alias(f"n{i}") for i, name in enumerate(names)]
@@ -113,7 +103,7 @@ def with_posteriors(docs: DataFrame, model: Domains, text_col: str, tokens: str,
     found, scores = fresh(docs, "_found", "_scores")
     own = docs.columns
     words = [w for w in model.features if w != _NONE]
-    out = docs.select(*own, _tokens(text).alias(tokens), _known(_features(text), _listed(words)).alias(found))
+    out = docs.select(*own, _tokens(text).alias(tokens), _known(_words(text), _listed(words)).alias(found))
 
     def score(base: float, weights: list[float]) -> Column:
         value = F.map_from_arrays(_listed(model.features), F.array(*[F.lit(w) for w in weights]))
