@@ -43,7 +43,7 @@ _CHUNK_ROWS = 256
 #: Prefix tokens that a task holds before it hands on its leaders.
 TASK_ROWS = 2_000_000
 #: Rounds of stars over what lies in different components before all such pairs are taken.
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
 
 
 class Sketch:
@@ -65,8 +65,9 @@ def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
     return (percent * n + 99) // 100
 
 
-def _prefixes(sizes: np.ndarray, hashes: np.ndarray, sketch: Sketch, order: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(set index, token) of the prefix tokens that another document could have."""
+def _prefixes(sizes: np.ndarray, hashes: np.ndarray, sketch: Sketch, order: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set index, token) of the prefix tokens that another document could have, and how many of
+    each set's tokens another could have."""
     owner = np.repeat(np.arange(len(sizes)), sizes)
     key, shared = sketch.keys(hashes, order)
     by = np.argsort(key)
@@ -74,7 +75,7 @@ def _prefixes(sizes: np.ndarray, hashes: np.ndarray, sketch: Sketch, order: int,
     rank = np.arange(len(by)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     length = sizes - least_overlap(sizes, percent) + 1
     take = by[(rank < length[owner]) & shared[by]]
-    return owner[take], hashes[take]
+    return owner[take], hashes[take], np.bincount(owner, weights=shared, minlength=len(sizes)).astype(np.int64)
 
 
 def _digests(sizes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,35 +186,41 @@ def build_sketch(profile: DataFrame) -> Sketch:
 
 
 def _leaders(shared, width: int, percent: int):
-    """Rows (token, a, b): a token's leader in this task (a), or a link of a member to it (a, b)."""
-    names = ["token", "a", "b"]
+    """Rows (token, rank, a, b): a token's leader in this task (a), or a link of a member to it (a, b).
+
+    A leader has the least rank, the share of its tokens that no other text has: of texts that
+    were made from one another the one nearest to all, to which the most links go.
+    """
+    names = ["token", "rank", "a", "b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = shared.value
         tokens: list[np.ndarray] = []
         owners: list[np.ndarray] = []
+        ranks: list[np.ndarray] = []
 
         def links() -> Iterator[pa.RecordBatch]:
-            token, owner = np.concatenate(tokens), np.concatenate(owners)
-            by = np.lexsort((owner, token))
-            token, owner = token[by].view(np.int64), owner[by]
+            token, owner, rank = np.concatenate(tokens), np.concatenate(owners), np.concatenate(ranks)
+            by = np.lexsort((owner, rank, token))
+            token, owner, rank = token[by].view(np.int64), owner[by], rank[by]
             new = np.ones(len(token), bool)
             new[1:] = token[1:] != token[:-1]
             leader = owner[np.flatnonzero(new)][np.cumsum(new) - 1]
-            yield pa.RecordBatch.from_arrays([pa.array(token[new]), pa.array(owner[new]), pa.nulls(int(new.sum()), pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(token[new]), pa.array(rank[new]), pa.array(owner[new]), pa.nulls(int(new.sum()), pa.int64())], names)
             pairs = np.unique(np.stack([leader, owner])[:, leader != owner], axis=1)
-            if pairs.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.nulls(pairs.shape[1], pa.int64()), pa.array(pairs[0]), pa.array(pairs[1])], names)
+            if k := pairs.shape[1]:
+                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(pairs[0]), pa.array(pairs[1])], names)
 
         for batch in slices(batches):
             ids = batch.column(0).to_numpy()
             for first, sizes, hashes in shingle_sets(_texts(batch.column(1)), width):
-                own, token = _prefixes(sizes, hashes, sketch, 0, percent)
+                own, token, shared_tokens = _prefixes(sizes, hashes, sketch, 0, percent)
                 tokens.append(token)
                 owners.append(ids[first + own])
+                ranks.append((1000 * (sizes - shared_tokens) // np.maximum(sizes, 1))[own])
                 if sum(map(len, tokens)) >= TASK_ROWS:
                     yield from links()
-                    tokens, owners = [], []
+                    tokens, owners, ranks = [], [], []
         if sum(map(len, tokens)):
             yield from links()
 
@@ -221,15 +228,15 @@ def _leaders(shared, width: int, percent: int):
 
 
 def _members(shared, width: int, percent: int):
-    """Rows (token, id, n): every prefix token of every document."""
+    """Rows (token, id, n, common): every prefix token of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = shared.value
         for batch in slices(batches):
             ids = batch.column(0).to_numpy()
             for first, sizes, hashes in shingle_sets(_texts(batch.column(1)), width):
-                own, token = _prefixes(sizes, hashes, sketch, 0, percent)
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(ids[first + own]), pa.array(sizes[own])], ["token", "id", "n"])
+                own, token, shared_tokens = _prefixes(sizes, hashes, sketch, 0, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(ids[first + own]), pa.array(sizes[own]), pa.array(shared_tokens[own])], ["token", "id", "n", "common"])
 
     return run
 
@@ -282,9 +289,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = materialize(named.join(leasts, ["n", "h1", "h2"]).select("id", "least").distinct(), "jac-classes")
 
     # Stars: within tasks, then over the tasks' leaders.
-    found = materialize(texts.where("id is not null").mapInArrow(_leaders(sketch, width, percent), "token long, a long, b long"), "jac-leaders")
-    heads = found.where("token is not null").select("token", "a")
-    tops = materialize(heads.groupBy("token").agg(F.min("a").alias("top"), F.max("a").alias("last")).where("top < last").select("token", "top"), "jac-tops")
+    found = materialize(texts.where("id is not null").mapInArrow(_leaders(sketch, width, percent), "token long, rank long, a long, b long"), "jac-leaders")
+    heads = found.where("token is not null").select("token", "rank", "a")
+    tops = heads.groupBy("token").agg(F.min(F.struct("rank", "a")).alias("top"), F.count("*").alias("heads")).where("heads > 1")
+    tops = materialize(tops.select("token", F.col("top.a").alias("top")), "jac-tops")
     stars = heads.join(tops, "token").where("a <> top").select(F.col("top").alias("a"), F.col("a").alias("b"))
     edges = materialize(_of_classes(found.where("token is null").select("a", "b").unionByName(stars).distinct(), classes), "jac-edges")
 
@@ -296,21 +304,20 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tested = edges
 
     # What shares a prefix token but lies in different components.
-    members = materialize(bodies.mapInArrow(_members(sketch, width, percent), "token long, id long, n long").distinct(), "jac-members")
+    members = materialize(bodies.mapInArrow(_members(sketch, width, percent), "token long, id long, n long, common long").distinct(), "jac-members")
     for number in range(STAR_ROUNDS + 1):
         components = materialize(connected_components(links), "jac-components")
-        placed = members.join(components, members["id"] == components["node"], "left").select("token", "id", "n", F.coalesce("component", "id").alias("component"))
+        placed = members.join(components, members["id"] == components["node"], "left").select("token", "id", "n", "common", F.coalesce("component", "id").alias("component"))
         open_tokens = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("id", F.xxhash64("id", F.lit(number))).alias("pivot"))
         open_tokens = materialize(open_tokens.where("low < high").select("token", "pivot"), "jac-open")
         if open_tokens.isEmpty():
             break
         rest = materialize(placed.join(open_tokens, "token"), "jac-rest")
-        if number < STAR_ROUNDS:
-            centre = rest.where("id = pivot").select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-        else:
-            centre = rest.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-        sized = f"{percent} * greatest(n, na) <= 100 * least(n, na)"
-        pairs = rest.join(centre, "token").where("component <> ca and id <> a").where(sized)
+        centre = rest.where("id = pivot") if number < STAR_ROUNDS else rest
+        centre = centre.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("common").alias("ca"), F.col("component").alias("ka"))
+        # Sizes must allow the similarity, and so must the tokens that others can have.
+        allows = f"{percent} * greatest(n, na) <= 100 * least(n, na) and {percent} * (n + na) <= {100 + percent} * least(common, ca)"
+        pairs = rest.join(centre, "token").where("component <> ka and id <> a").where(allows)
         pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
         fresh_pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "jac-pairs")
         more = _verified(fresh_pairs, bodies, check)
