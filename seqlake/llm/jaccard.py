@@ -40,6 +40,7 @@ CELL_BITS, COARSE_BITS = 28, 20
 _CHUNKS = 256
 #: Rows of a chunk that one task adds up.
 _CHUNK_ROWS = 256
+_PROFILE = "id long, n long, h1 long, h2 long, chunk int, cells binary"
 #: Prefix tokens that a task holds before it hands on its leaders.
 TASK_ROWS = 2_000_000
 #: Rounds of stars over what lies in different components before all such pairs are taken.
@@ -52,6 +53,13 @@ class Sketch:
     def __init__(self, cells: np.ndarray, coarse: np.ndarray):
         self.cells, self.coarse = cells, coarse
 
+    def __getstate__(self) -> tuple[bytes, bytes]:
+        # Broadcast files lie on the disk of every executor; sparse sketches are small there.
+        return zstandard.compress(self.cells.tobytes(), 1), zstandard.compress(self.coarse.tobytes(), 1)
+
+    def __setstate__(self, state: tuple[bytes, bytes]) -> None:
+        self.cells, self.coarse = (np.frombuffer(zstandard.decompress(x), np.uint8) for x in state)
+
     def keys(self, hashes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
         """(place in the order, whether the token can be in another document) of each token."""
         cell = mix(hashes, 7) >> np.uint64(64 - CELL_BITS)
@@ -279,7 +287,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    profile = materialize(texts.mapInArrow(_profile(width), "id long, n long, h1 long, h2 long, chunk int, cells binary"), "jac-profile")
+    profile = materialize(texts.mapInArrow(_profile(width), _PROFILE), "jac-profile")
     own = profile.where("chunk is null").select("id", "n", "h1", "h2")
     sketch = spark.sparkContext.broadcast(build_sketch(profile))
 
@@ -299,6 +307,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Texts of the classes that have a candidate, read once more.
     alive = materialize(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "jac-alive")
     bodies = materialize(texts.join(alive.hint("merge"), "id", "left_semi"), "jac-texts")
+    # A partner is among them, so from here on a token is rare if it is so among them.
+    narrower = materialize(bodies.mapInArrow(_profile(width), _PROFILE).where("chunk is not null"), "jac-profile2")
+    sketch = spark.sparkContext.broadcast(build_sketch(narrower))
     check = _verify(sketch, width, percent)
     links = _verified(edges, bodies, check)
     tested = edges
