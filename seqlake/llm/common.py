@@ -56,6 +56,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Delete a table of :func:`materialize` that nothing reads any more."""
+    for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        drop_path(df.sparkSession, path)
+
+
 def _let_workers_import(spark: SparkSession) -> None:
     """Python workers find this package where the driver found it, if it isn't installed there."""
     env = spark.sparkContext.environment

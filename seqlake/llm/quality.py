@@ -7,6 +7,10 @@ orders are then group-bys and joins over n-gram tables, whose keys have at most
 successors each. For scoring, the table is cut into shards by the two bytes before the
 scored one. Each shard has at most ``SHARD_ENTRIES`` entries, and is joined to the n-grams of
 all documents from a broadcast hash table, so memory is bounded at any size of the corpus.
+
+A model knows the texts that it was learned from, so their perplexities say little about those
+of other texts. Limits therefore come from trusted documents scored out of fold: texts fall into
+FOLDS by hash, and each fold is scored by a model of the others. Grams are counted once, by fold.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize
+from .common import drop_table, fresh, materialize
 from .textbuf import buffers, slices
 
 ORDER = 5
@@ -30,8 +34,10 @@ SHARD_ENTRIES = 4_000_000
 TASK_GRAMS = 2_000_000
 #: A document is rejected if its log perplexity is above that of the median trusted document
 #: of its language by more than SPREAD times the distance from there to the HIGH quantile.
-#: Languages with fewer than LEAST_DOCS trusted documents use the quantiles of all.
+#: This distance is averaged with a safe wider one that counts like LEAST_DOCS documents.
 HIGH, SPREAD, LEAST_DOCS, CERTAIN = 0.9, 4.0, 30, 2.0
+#: Parts of the trusted texts, each scored by a model of the others; copies fall into one.
+FOLDS = 2
 _PAD = b"\xff"  # never in UTF-8
 _GAMMA = 8  # orders of context weights are stored above this
 
@@ -55,9 +61,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["gram", "n"])
 
     for batch in slices(batches):
-        texts = [t.encode("utf-8", "replace") for t in batch.column(0).to_pylist()]
+        folds = batch.column(0).to_numpy() << 8 * ORDER
+        texts = [t.encode("utf-8", "replace") for t in batch.column(1).to_pylist()]
         for buf in buffers(texts, 1, ORDER - 1, _PAD):
-            held.append(np.unique(_packed(buf.units, buf.ends()), return_counts=True))
+            owner = np.repeat(buf.owner, np.diff(buf.starts))
+            held.append(np.unique(_packed(buf.units, buf.ends()) | folds[owner], return_counts=True))
             if sum(len(g) for g, _ in held) > TASK_GRAMS:
                 held = [merged()]
                 if len(held[0][0]) > TASK_GRAMS // 2:
@@ -85,13 +93,33 @@ def train(trusted: DataFrame, text_col: str = "text") -> DataFrame:
     Key is ``order << 40 | bytes`` of an n-gram, or of a context with 8 added to its order.
     Null and empty texts add nothing; without any text the table is empty.
     """
-    texts = trusted.select(text_col).where(F.col(text_col).isNotNull())
+    counted = count_folds(trusted, text_col)
+    model = fit(counted)
+    drop_table(counted)
+    return model
+
+
+def fold_of(digest: Column) -> Column:
+    """The fold of a text whose xxhash64 is ``digest``."""
+    return F.pmod(digest, F.lit(FOLDS))
+
+
+def count_folds(trusted: DataFrame, text_col: str = "text") -> DataFrame:
+    """``fold, gram, n``: 5-grams of the texts that aren't null, counted by fold of the text."""
+    texts = trusted.select(fold_of(F.xxhash64(text_col)).alias("fold"), text_col).where(F.col(text_col).isNotNull())
     grams = texts.mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    by_order = {ORDER: materialize(grams, "lm-grams5")}
+    plain = F.col("gram").bitwiseAND(F.lit((1 << 8 * ORDER) - 1)).alias("gram")
+    return materialize(grams.select(F.shiftright("gram", 8 * ORDER).alias("fold"), plain, "n"), "lm-folds")
+
+
+def fit(counted: DataFrame) -> DataFrame:
+    """The model, see :func:`train`, of all rows of :func:`count_folds` that are given."""
+    by_order = {ORDER: materialize(counted.groupBy("gram").agg(F.sum("n").alias("n")), "lm-grams5")}
     for k in range(ORDER - 1, 0, -1):
         shorter = F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("gram")
         by_order[k] = materialize(by_order[k + 1].select(shorter).groupBy("gram").agg(F.count("*").alias("n")), f"lm-grams{k}")
     tables: list[DataFrame] = []
+    handed: list[DataFrame] = [*by_order.values()]
     lower = None
     for k in range(1, ORDER + 1):
         d1, d2, d3 = _discounts(by_order[k])
@@ -109,7 +137,11 @@ def train(trusted: DataFrame, text_col: str = "text") -> DataFrame:
         lower = materialize(below.select("gram", (seen + F.col("gamma") * F.col("below")).alias("p")), f"lm-p{k}")
         tables.append(lower.select(F.col("gram").bitwiseOR(F.lit(k << 40)).alias("key"), F.log("p").cast("float").alias("value")))
         tables.append(contexts.select(F.col("context").bitwiseOR(F.lit((_GAMMA + k - 1) << 40)).alias("key"), F.log("gamma").cast("float").alias("value")))
-    return materialize(reduce(DataFrame.unionByName, tables), "lm-model")
+        handed += [contexts, lower]
+    model = materialize(reduce(DataFrame.unionByName, tables), "lm-model")
+    for part in handed:
+        drop_table(part)
+    return model
 
 
 def _pair(key: Column) -> Column:
@@ -236,12 +268,32 @@ def _scorer(shared):
 
 
 def thresholds(trusted: DataFrame, high: float = HIGH, spread: float = SPREAD, least: int = LEAST_DOCS) -> tuple[DataFrame, float | None]:
-    """From ``lang, loss`` of trusted documents: ``lang, limit`` and the limit for all others."""
+    """From ``lang, loss`` of trusted documents scored out of fold: ``lang, limit`` and the loosest limit.
+
+    Few documents say little about how far losses spread, so a language's distance from median to
+    quantile is averaged, by its number of documents against ``least``, with the widest among
+    its own, that of all documents together and those of languages with ``least`` documents.
+    """
     quantiles = F.percentile_approx("loss", F.array(F.lit(0.5), F.lit(high)), 10_000).alias("q")
-    limit = F.col("q")[0] + spread * (F.col("q")[1] - F.col("q")[0])
-    by_lang = trusted.where("lang is not null").groupBy("lang").agg(quantiles, F.count("*").alias("n")).where(F.col("n") >= least).select("lang", limit.alias("limit"))
-    pooled = trusted.agg(quantiles).select(limit.alias("limit")).first()
-    return by_lang, pooled["limit"] if pooled else None
+    own = F.col("q")[1] - F.col("q")[0]
+    langs = materialize(trusted.groupBy("lang").agg(quantiles, F.count("*").alias("n")).select("lang", "n", F.col("q")[0].alias("middle"), own.alias("own")), "lm-spreads")
+    pooled = trusted.agg(quantiles).select(own).first()[0]
+    widest = langs.where(F.col("n") >= least).agg(F.max("own")).first()[0]
+    safe = F.greatest("own", F.lit(max(pooled or 0.0, widest or 0.0)))
+    limit = F.col("middle") + spread * (F.col("n") * F.col("own") + least * safe) / (F.col("n") + least)
+    limits = langs.select("lang", limit.alias("limit"))
+    return limits.where("lang is not null"), limits.agg(F.max("limit")).first()[0]
+
+
+def _losses_out_of_fold(docs: DataFrame, counted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, digest, loss`` of all rows, each scored by the model of the folds that its text isn't in."""
+    parts = []
+    for fold in range(FOLDS):
+        model = fit(counted.where(F.col("fold") != fold))
+        held_out = docs.where(fold_of(F.xxhash64(text_col)) == fold)
+        parts.append(materialize(log_perplexity(held_out, model, id_col, text_col).select("id", "digest", "loss"), "lm-held-out"))
+        drop_table(model)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", high: float = HIGH, spread: float = SPREAD) -> DataFrame:
@@ -249,24 +301,29 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
 
     ``trusted_ids`` (one column ``id``) names the documents that the model and the limits are
     learned from. A document is kept unless its perplexity per byte is above the limit of its
-    language, or of all languages where its own is null or has few trusted documents, by more
-    than CERTAIN standard errors (a short text says little about its perplexity). A text
-    that is null or empty has no perplexity and isn't kept. Where nothing is trusted, every
-    document that has a text is kept. Repeated rows are judged alike; ids may be null.
+    language, or the loosest limit where its language is null, by more than CERTAIN standard
+    errors (a short text says little about its perplexity). Of a language that no trusted
+    document has, the model knows nothing: there is no limit. A text that is null or empty has
+    no perplexity and isn't kept. Where nothing is trusted, every document that has a text is
+    kept. Repeated rows are judged alike; ids may be null.
     """
     clean = docs.drop("perplexity", "perplexity_limit", "kept")
     id_, digest, loss, error, lang, limit = fresh(clean, "_id", "_digest", "_loss", "_error", "_lang", "_limit")
     own_digest = fresh(clean, "_own_digest")[0]
     trusted_ids = trusted_ids.select(F.col("id").alias(id_)).where(F.col(id_).isNotNull()).distinct()
-    model = train(docs.select(F.col(id_col).alias(id_), F.col(text_col).alias("text")).join(trusted_ids.hint("merge"), id_, "left_semi"))
-    scored = log_perplexity(docs, model, id_col, text_col)
-    losses = materialize(scored.select(F.col("id").alias(id_), F.col("digest").alias(digest), F.col("loss").alias(loss), F.col("error").alias(error)), "lm-losses")
+    counted = count_folds(docs.select(F.col(id_col).alias(id_), F.col(text_col).alias("text")).join(trusted_ids.hint("merge"), id_, "left_semi"))
+    held_out = _losses_out_of_fold(docs, counted, id_col, text_col).withColumnsRenamed({"id": id_, "digest": digest})
     langs = docs.select(F.col(id_col).alias(id_), F.xxhash64(text_col).alias(digest), F.col(lang_col).alias("lang"))
-    seen = langs.join(trusted_ids, id_, "left_semi").join(losses, [id_, digest]).select("lang", F.col(loss).alias("loss"))
-    by_lang, pooled = thresholds(materialize(seen, "lm-trusted"), high, spread)
+    seen = langs.join(trusted_ids, id_, "left_semi").join(held_out, [id_, digest]).select("lang", "loss")
+    by_lang, loosest = thresholds(materialize(seen, "lm-trusted"), high, spread)
     limits = materialize(by_lang.select(F.col("lang").alias(lang), F.col("limit").alias(limit)), "lm-limits")
+    model = fit(counted)
+    drop_table(counted)
+    scored = log_perplexity(docs, model, id_col, text_col)
+    losses = materialize(scored.select(F.col("id").alias(id_), F.col("digest").alias(digest), F.col("loss").alias(loss), F.col("error").alias(error)), "lm-losses")
+    drop_table(model)
     keyed = clean.withColumn(own_digest, F.xxhash64(text_col))
     judged = keyed.join(losses.hint("merge"), keyed[id_col].eqNullSafe(losses[id_]) & (keyed[own_digest] == losses[digest]), "left").join(limits, keyed[lang_col] == limits[lang], "left")
-    most = F.coalesce(limit, F.lit(pooled).cast("double"))
+    most = F.when(keyed[lang_col].isNull(), F.lit(loosest).cast("double")).otherwise(F.col(limit))
     kept = F.when(F.col(loss).isNull(), F.lit(False)).otherwise(F.coalesce(F.col(loss) - CERTAIN * F.col(error) <= most, F.lit(True)))
     return judged.select(*[keyed[c] for c in clean.columns], F.exp(loss).alias("perplexity"), F.exp(most).alias("perplexity_limit"), kept.alias("kept"))

@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seqlake.llm import quality
@@ -110,3 +111,28 @@ def test_edge_rows(spark):
     nothing = quality.classify(docs(spark), trusted.limit(0))
     assert {r["kept"] for r in nothing.where("length(text) > 0").collect()} == {True}
     assert quality.classify(empty(spark), trusted).count() == 0
+
+
+def test_unseen_clean_text_stays_in_thin_languages_too(spark):
+    sf = "/root/testdata/sf0.01"
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").join(documents.select("doc_id", "lang"), "doc_id")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id")))
+    room = F.when(F.col("lang") == "es", 8).when(F.col("lang") == "fr", 20).when(F.col("lang") == "de", 16).otherwise(100)
+    trusted = labels.where("quality = 1").withColumn("rank", rank).where(F.col("rank") <= room).select(F.col("doc_id").alias("id"))
+    found = quality.classify(documents, trusted).join(trusted, F.col("doc_id") == F.col("id"), "left_anti").join(labels.drop("lang"), "doc_id")
+    kept = F.avg(F.col("kept").cast("int"))
+    clean = dict(found.where("quality = 1").groupBy("lang").agg(kept).collect())
+    assert set(clean) == {"en", "de", "fr", "es"} and min(clean.values()) >= 0.95, clean
+    assert found.where("quality = 0 and text like '%!!%'").agg(kept).first()[0] < 0.05
+
+
+def test_limits_of_thin_languages_and_of_none(spark):
+    rows = [("en", 1.0 + i / 1000) for i in range(100)] + [("es", 2.0), ("es", 2.01)]
+    by_lang, loosest = quality.thresholds(spark.createDataFrame(rows, "lang string, loss double"))
+    limits = dict(by_lang.collect())
+    # Two documents alone would say 2.0 + 4 * 0.01.
+    assert limits["es"] > 2.1 and loosest == limits["es"]
+    texts = spark.createDataFrame([(i, "a cat and a dog sat there", "en") for i in range(40)] + [(99, "ÄÖÜ ÄÖÜ xq" * 9, "de"), (98, "ÄÖÜ ÄÖÜ xq" * 9, "en")], "doc_id long, text string, lang string")
+    kept = {r["doc_id"]: r["kept"] for r in quality.classify(texts, texts.where("doc_id < 40").select(F.col("doc_id").alias("id"))).collect()}
+    assert kept[99]
