@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,14 +22,16 @@ from pyspark.sql import functions as F
 from .common import fresh, materialize
 
 #: Labelled documents of a domain that the classifier is fitted on, about, and its features.
-PER_DOMAIN, VOCABULARY, LEAST_DOCS = 2000, 256, 8
-#: A feature is telling if this share of a domain's documents has it and it is so many times
-#: as common there as in the others.
-SHARE, LIFT = 0.01, 50.0
+PER_DOMAIN, VOCABULARY = 2000, 256
+#: A feature is telling if it sets two domains apart by this chi-square (corrected for small
+#: counts, so one document isn't enough) and is so many times as common in one as in the other
+#: (words that only tell long texts from short ones are a few times as common).
+CHI_SQUARE, LIFT = 15.0, 10.0
 #: Steps at most, and the relative residual at which they end.
 STEPS, TOLERANCE = 80, 1e-3
 _NONE = "#none"
 _BREAKS = r"[\s.,;:!?()\"']+"
+_BETWEEN_MARKS = r"[\p{L}\p{N}_\s]+"
 
 
 @dataclass
@@ -46,6 +49,17 @@ def _words(text: Column) -> Column:
     return F.split(F.lower(text), _BREAKS)
 
 
+def _features(text: Column) -> Column:
+    """Words, runs of marks, and how often words repeat on average, in half powers of two.
+
+    The names of the last two hold a space, which no word has.
+    """
+    words = F.array_remove(_words(text), "")
+    again = F.least(F.lit(12), F.floor(2 * F.log2(F.greatest(F.lit(1), F.size(words)) / F.greatest(F.lit(1), F.size(F.array_distinct(words)))))).cast("string")
+    marks = F.transform(F.split(text, _BETWEEN_MARKS), lambda run: F.concat(F.lit("#mark "), run))
+    return F.concat(words, marks, F.array(F.concat(F.lit("#again "), again)))
+
+
 def _known(features: Column, listed: Column) -> Column:
     """Those of the listed features that are present; ``#none`` if there is none."""
     found = F.array_intersect(features, listed)
@@ -60,8 +74,8 @@ def _tokens(text: Column) -> Column:
 def learn_domains(labelled: DataFrame, text_col: str = "text", domain_col: str = "domain", id_col: str = "doc_id", per_domain: int = PER_DOMAIN, vocabulary: int = VOCABULARY) -> Domains:
     """Fit the classifier on about ``per_domain`` documents of each domain, chosen by hash.
 
-    Rows with a null domain teach nothing; a null text is empty; copies count once. The features are the words
-    whose presence differs most between a domain and the others.
+    Rows with a null domain teach nothing; a null text is empty; copies count once. The features are those
+    whose presence differs most between any two domains, by chi-square.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(domain_col).alias("domain"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("domain is not null")
     sizes = {r["domain"]: r["count"] for r in rows.groupBy("domain").count().collect()}
@@ -72,19 +86,14 @@ def learn_domains(labelled: DataFrame, text_col: str = "text", domain_col: str =
     for name in names:
         part = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < max(1, int(1_000_000 * min(1.0, per_domain / sizes[name])))
         kept = kept | ((F.col("domain") == name) & part)
-    sample = materialize(rows.where(kept).select("domain", F.array_distinct(_words(F.col("text"))).alias("features")).distinct(), "mix-sample")
+    sample = materialize(rows.where(kept).select("domain", F.array_distinct(_features(F.col("text"))).alias("features")).distinct(), "mix-sample")
     docs = {r["domain"]: r["count"] for r in sample.groupBy("domain").count().collect()}
-    total = sum(docs.values())
     by_domain = [F.count(F.when(F.col("domain") == name, 1)).alias(f"n{i}") for i, name in enumerate(names)]
     counts = sample.select("domain", F.explode("features").alias("word")).where("word is not null and word <> ''").groupBy("word").agg(*by_domain)
-    every = sum((F.col(f"n{i}") for i in range(len(names))), F.lit(0))
-    apart, telling = F.lit(0.0), F.lit(False)
-    for i, name in enumerate(names):
-        own, rest = docs.get(name, 0), total - docs.get(name, 0)
-        rate, other = F.col(f"n{i}") / max(1, own), (every - F.col(f"n{i}") + 0.5) / max(1, rest)
-        telling = telling | ((rate >= SHARE) & (rate >= LIFT * other))
-        apart = F.greatest(apart, rate - other)
-    listed = [r["word"] for r in counts.where((every >= LEAST_DOCS) & telling).orderBy(apart.desc(), "word").limit(vocabulary).collect()]
+    apart = F.lit(0.0)
+    for i, j in combinations(range(len(names)), 2):
+        apart = F.greatest(apart, _chi_square(F.col(f"n{i}"), F.col(f"n{j}"), docs.get(names[i], 0), docs.get(names[j], 0)))
+    listed = [r["word"] for r in counts.withColumn("apart", apart).where(F.col("apart") >= CHI_SQUARE).orderBy(F.desc("apart"), "word").limit(vocabulary).collect()]
     features = [*listed, _NONE]
     seen = sample.select("domain", F.explode(_known(F.col("features"), _listed(listed))).alias("word")).groupBy("word").agg(*by_domain)
     have = {r["word"]: r for r in seen.collect()}
@@ -93,6 +102,16 @@ def learn_domains(labelled: DataFrame, text_col: str = "text", domain_col: str =
     return Domains(names, base, features, [[math.log(rate(w, i, docs.get(name, 0))) for w in features] for i, name in enumerate(names)])
 
 
+def _chi_square(some: Column, others: Column, of_some: int, of_others: int) -> Column:
+    """Of the presence of a feature in two domains, with Yates' correction; 0 below LIFT."""
+    every, both = of_some + of_others, some + others
+    gap = F.greatest(F.lit(0.0), F.abs(some * of_others - others * of_some) - every / 2)
+    spread = (both * (every - both)).cast("double") * float(of_some) * float(of_others)
+    rate, other = (some + 0.5) / (of_some + 1.0), (others + 0.5) / (of_others + 1.0)
+    telling = (spread > 0) & (F.greatest(rate, other) >= LIFT * F.least(rate, other))
+    return F.when(telling, every * gap * gap / spread).otherwise(0.0)
+
+
 def _listed(words: list[str]) -> Column:
     return F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
 
@@ -103,7 +122,7 @@ def with_posteriors(docs: DataFrame, model: Domains, text_col: str, tokens: str,
     found, scores = fresh(docs, "_found", "_scores")
     own = docs.columns
     words = [w for w in model.features if w != _NONE]
-    out = docs.select(*own, _tokens(text).alias(tokens), _known(_words(text), _listed(words)).alias(found))
+    out = docs.select(*own, _tokens(text).alias(tokens), _known(_features(text), _listed(words)).alias(found))
 
     def score(base: float, weights: list[float]) -> Column:
         value = F.map_from_arrays(_listed(model.features), F.array(*[F.lit(w) for w in weights]))

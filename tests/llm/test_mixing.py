@@ -61,3 +61,25 @@ def test_no_labels_and_no_rows(spark):
     model = mixing.learn_domains(empty(spark).withColumn("domain", F.lit("a")))
     assert {r["copies"] for r in mixing.mix(docs(spark), model, {"a": 1.0}).collect()} == {1}
     assert mixing.mix(empty(spark), model, {"a": 1.0}).count() == 0
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_low_and_toxic_documents_are_recognised(spark, sf):
+    from seqlake.llm.queries import label_domains
+
+    documents = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    labels = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet")
+    model = label_domains(spark, documents, f"/root/testdata/{sf}")
+    kind = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").otherwise("good")
+    rows = mixing.with_posteriors(documents.join(labels, "doc_id"), model, "text", "tokens", "posterior")
+    good = F.avg((F.col("posterior")[model.names.index("good")] > 0.5).cast("int"))
+    taken_for_good = dict(rows.groupBy(kind).agg(good).collect())
+    assert taken_for_good["good"] > 0.95 and taken_for_good["low"] < 0.3
+    assert taken_for_good["toxic"] < (0.6 if sf == "sf0.001" else 0.3)
+
+
+def test_a_mark_that_two_domains_share_tells_them_from_the_third(spark):
+    rows = [(i, f"plain text number{i}", "good") for i in range(300)] + [(1000 + i, f"plain | text number{i}", "low") for i in range(40)]
+    rows += [(2000 + i, f"plain {'|' if i < 20 else ''} awful text number{i}", "toxic") for i in range(40)]
+    model = mixing.learn_domains(spark.createDataFrame(rows, "doc_id long, text string, domain string"))
+    assert "#mark |" in model.features and "awful" in model.features
