@@ -32,8 +32,8 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the rates for the target weights say, rounded to the nearest number."""
-    mixed = mix(docs, label_domains(spark, docs, sf_dir), TARGET_WEIGHTS, anchor="good", rounding="nearest").where("copies > 0")
+    """Documents as often as the rates for the target weights say, good ones at least once; totals follow the rates."""
+    mixed = mix(docs, label_domains(spark, docs, sf_dir), TARGET_WEIGHTS, anchor="good", floor=1.0).where("copies > 0")
     return mixed.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy")).drop("_copy")
 
 

@@ -134,15 +134,23 @@ def with_posteriors(docs: DataFrame, model: Domains, text_col: str, tokens: str,
     return out.select(*own, tokens, F.transform(mass, lambda m: m / F.aggregate(mass, F.lit(0.0), lambda a, b: a + b)).alias(posterior))
 
 
-def _rate(posterior: str, steps: list[list[float]]) -> Column:
-    """Rates after the given steps, from 1 on, kept nonnegative after each."""
+def _lowest(posterior: str, held: int | None, floor: float) -> Column:
+    """``floor`` where the domain ``held`` is the most probable one, else 0."""
+    if held is None or not floor:
+        return F.lit(0.0)
+    return F.when(F.col(posterior)[held] >= F.array_max(posterior), F.lit(float(floor))).otherwise(F.lit(0.0))
+
+
+def _rate(posterior: str, steps: list[list[float]], held: int | None = None, floor: float = 0.0) -> Column:
+    """Rates after the given steps, from 1 on, kept at the lowest allowed or above after each."""
     if not steps:
         return F.lit(1.0)
     size = len(steps[0])
-    return F.aggregate(F.lit(steps), F.lit(1.0), lambda rate, step: F.greatest(F.lit(0.0), rate - sum((F.col(posterior)[k] * step[k] for k in range(size)), F.lit(0.0))))
+    lowest = _lowest(posterior, held, floor)
+    return F.aggregate(F.lit(steps), F.lit(1.0), lambda rate, step: F.greatest(lowest, rate - sum((F.col(posterior)[k] * step[k] for k in range(size)), F.lit(0.0))))
 
 
-def fit_rates(compact: DataFrame, targets: list[float], tokens: str = "tokens", posterior: str = "posterior") -> list[list[float]]:
+def fit_rates(compact: DataFrame, targets: list[float], tokens: str = "tokens", posterior: str = "posterior", held: int | None = None, floor: float = 0.0) -> list[list[float]]:
     """Steps that lead the rates of ``compact`` to expected domain totals near ``targets``.
 
     Squared residuals are weighted by the inverse row sums of the moment matrix of those
@@ -158,7 +166,7 @@ def fit_rates(compact: DataFrame, targets: list[float], tokens: str = "tokens",
         rate = F.col("_rate")
         totals = [F.sum(t * p[i] * rate).alias(f"s{i}") for i in range(k)]
         moments = [F.sum(F.when(rate > 0, t * p[i])).alias(f"m{i}") for i in range(k)]
-        sums = compact.withColumn("_rate", _rate(posterior, steps)).agg(*totals, *moments).first()
+        sums = compact.withColumn("_rate", _rate(posterior, steps, held, floor)).agg(*totals, *moments).first()
         residual = [(sums[f"s{i}"] or 0.0) - goal for i, goal in enumerate(targets)]
         size = sum(map(abs, residual)) / whole
         if size < TOLERANCE or abs(size - before) < TOLERANCE * size:
@@ -168,33 +176,42 @@ def fit_rates(compact: DataFrame, targets: list[float], tokens: str = "tokens",
     return steps
 
 
-def mix(docs: DataFrame, model: Domains, weights: Mapping[str, float], total: float | None = None, anchor: str | None = None, text_col: str = "text", id_col: str = "doc_id", rounding: str = "hash") -> DataFrame:
+def mix(docs: DataFrame, model: Domains, weights: Mapping[str, float], total: float | None = None, anchor: str | None = None, text_col: str = "text", id_col: str = "doc_id", rounding: str = "hash", floor: float = 0.0) -> DataFrame:
     """All columns of ``docs`` with ``tokens, posterior, rate, copies``.
 
     ``weights`` are the domains' shares of the expected tokens (others get none), ``total``
     their sum; without it, the domain ``anchor`` (or the one of most weight) keeps its present
     expected tokens. ``copies`` rounds the rate: to the nearest number, or up with a
     probability that makes the expected copies the rate, drawn from a hash of id and text.
+    No document that is most probably of the anchor gets a rate below ``floor``; the others make up for it.
     Without a model, or with no tokens at all, every rate is 1. A null text has no tokens and
     the posterior of an empty text; repeated rows have equal rates; no rows give no rows.
     """
     clean = docs.drop("tokens", "posterior", "rate", "copies")
     compact = materialize(with_posteriors(clean.select(F.col(text_col).alias("text")), model, "text", "tokens", "posterior").select("tokens", "posterior"), "mix-posteriors")
-    return _mixed(with_posteriors(clean, model, text_col, "tokens", "posterior"), steps_for(compact, model, weights, total, anchor), rounding, id_col, text_col)
+    return _mixed(with_posteriors(clean, model, text_col, "tokens", "posterior"), steps_for(compact, model, weights, total, anchor, floor), rounding, id_col, text_col, _held(model, weights, anchor), floor)
 
 
-def steps_for(compact: DataFrame, model: Domains, weights: Mapping[str, float], total: float | None = None, anchor: str | None = None) -> list[list[float]]:
+def steps_for(compact: DataFrame, model: Domains, weights: Mapping[str, float], total: float | None = None, anchor: str | None = None, floor: float = 0.0) -> list[list[float]]:
     """The steps of :func:`fit_rates` for shares of tokens, see :func:`mix`."""
     if not model.names:
         return []
-    anchor = anchor or max(model.names, key=lambda n: weights.get(n, 0.0))
+    held = _held(model, weights, anchor)
+    anchor = anchor or model.names[held]
     if total is None:
-        kept = compact.agg(F.sum(F.col("tokens") * F.col("posterior")[model.names.index(anchor)])).first()[0] or 0.0
+        kept = compact.agg(F.sum(F.col("tokens") * F.col("posterior")[held])).first()[0] or 0.0
         total = kept / weights[anchor] if weights.get(anchor) else 0.0
-    return fit_rates(compact, [total * weights.get(n, 0.0) for n in model.names]) if total else []
+    return fit_rates(compact, [total * weights.get(n, 0.0) for n in model.names], held=held, floor=floor) if total else []
+
+
+def _held(model: Domains, weights: Mapping[str, float], anchor: str | None) -> int | None:
+    """Which domain is the anchor."""
+    if not model.names:
+        return None
+    return model.names.index(anchor or max(model.names, key=lambda n: weights.get(n, 0.0)))
 
 
-def _mixed(rows: DataFrame, steps: list[list[float]], rounding: str, id_col: str, text_col: str) -> DataFrame:
-    rate = _rate("posterior", steps)
+def _mixed(rows: DataFrame, steps: list[list[float]], rounding: str, id_col: str, text_col: str, held: int | None = None, floor: float = 0.0) -> DataFrame:
+    rate = _rate("posterior", steps, held, floor)
     up = F.lit(0.5) if rounding == "nearest" else F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 30)) / float(1 << 30)
     return rows.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + up).cast("long"))

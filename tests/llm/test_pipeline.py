@@ -1,4 +1,7 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from seqlake.llm import mixing
 from seqlake.llm.common import materialize
 
 from .edge import components, lower, shingles
@@ -33,3 +36,19 @@ def test_stages_against_brute_force(spark):
 
 def test_run_returns_the_last_stage(spark):
     assert corpus_pipeline.run(spark, SF).columns[:3] == ["doc_id", "piece", "start"]
+
+
+def test_mixing_stage_follows_the_rates_and_keeps_good_documents(spark, monkeypatch):
+    kinds = [("good", i, "plain") for i in range(60)] + [("low", i, "junk" if i % 4 else "plain") for i in range(600)]
+    rows = [(n, f"{word} text number{i} here", kind) for n, (kind, i, word) in enumerate(kinds)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, domain string")
+    model = mixing.learn_domains(docs)
+    monkeypatch.setattr(corpus_pipeline, "label_domains", lambda *_: model)
+    monkeypatch.setattr(corpus_pipeline, "TARGET_WEIGHTS", {"good": 0.2, "low": 0.8})
+    plain = docs.drop("domain")
+    rates = mixing.mix(plain, model, {"good": 0.2, "low": 0.8}, anchor="good", floor=1.0)
+    expected = rates.agg(F.sum("rate")).first()[0]
+    mixed = corpus_pipeline.source_mixing(spark, plain, SF)
+    assert abs(mixed.count() - expected) < 0.1 * expected
+    top = rates.where(F.col("posterior")[model.names.index("good")] >= F.array_max("posterior"))
+    assert top.where("rate < 1 or copies < 1").count() == 0
