@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlake.llm.common import materialize, table
+from seqlake.llm.common import drop_table, fresh, materialize, table
 from seqlake.llm.exactdedup import drop_exact_copies
 from seqlake.llm.jaccard import drop_similar
 from seqlake.llm.mixing import mix
@@ -33,8 +33,10 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the rates for the target weights say, good ones at least once; totals follow the rates."""
-    mixed = mix(docs, label_domains(spark, docs, sf_dir), TARGET_WEIGHTS, anchor="good", floor=1.0).where("copies > 0")
-    return mixed.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy")).drop("_copy")
+    mixed = mix(docs, label_domains(spark, docs, sf_dir), TARGET_WEIGHTS, anchor="good", floor=1.0)
+    copies, (copy,) = mixed.columns[-1], fresh(mixed, "_copy")
+    taken = mixed.where(F.col(copies) > 0)
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias(copy)).drop(copy)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,6 +59,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each result is written and read again."""
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            drop_table(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

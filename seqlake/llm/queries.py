@@ -61,8 +61,7 @@ def label_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Domains:
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    mixed = mix(docs, label_domains(spark, docs, sf_dir), TARGET_WEIGHTS)
-    return mixed.select("doc_id", "tokens", "posterior", "rate", "copies")
+    return mix(docs, label_domains(spark, docs, sf_dir), TARGET_WEIGHTS, columns=["doc_id"])
 
 
 def labelled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
