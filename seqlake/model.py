@@ -63,7 +63,11 @@ class ScanOptions:
 
 @dataclass(frozen=True)
 class Options:
-    """Settings that have a meaning on Spark. Sizes are bytes."""
+    """Settings that have a meaning on Spark. Sizes are bytes.
+
+    A group of writes that wait shares one log file, up to ``group_max_*``; beyond ``queue_max_*``
+    writers wait before they join the queue. ``max_unflushed_batches`` commits may lie in logs.
+    """
 
     levels: int = 7
     l0_compaction_trigger: int = 4
@@ -79,13 +83,15 @@ class Options:
     group_max_bytes: int = 2 * 1024 * 1024
     manifest_max_edits: int = 10_000
     retained_versions: int = 10
-    max_unflushed_batches: int = 8
+    queue_max_requests: int = 1024
+    queue_max_bytes: int = 8 * 1024 * 1024
+    max_unflushed_batches: int = 100_000
     flush_failure_limit: int = 3
-    target_file_rows: int = 1_000_000
+    target_file_bytes: int = 128 * 1024 * 1024
 
     def __post_init__(self) -> None:
         # Values below one would stop all progress.
-        for name in ("levels", "l0_compaction_trigger", "level_multiplier", "max_subcompactions", "group_max_ops", "retained_versions", "target_file_rows"):
+        for name in ("levels", "l0_compaction_trigger", "level_multiplier", "max_subcompactions", "group_max_ops", "queue_max_requests", "retained_versions", "max_unflushed_batches", "target_file_bytes"):
             if getattr(self, name) < 1:
                 object.__setattr__(self, name, 1)
         if self.l0_stop_files < self.l0_slowdown_files:

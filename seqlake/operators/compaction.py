@@ -96,18 +96,26 @@ def compaction_scores(files: DataFrame, options: Options = Options()) -> DataFra
     return level_stats(files).where(F.col("level") <= options.levels - 2).select("level", score.cast("double").alias("score"))
 
 
+#: States and reasons of the write pressure (fixed values).
+NORMAL, SLOWDOWN, STOP = "normal", "slowdown", "stop"
+REASONS = ("l0_stop_trigger", "pending_compaction_hard_limit", "l0_and_pending_compaction_slowdown", "l0_slowdown_trigger", "pending_compaction_soft_limit", "below_thresholds")
+
+
+def pressure_rules(l0_files, pending, options: Options) -> list[tuple]:
+    """(condition, state, reason) in order, for numbers or columns; the first that holds counts."""
+    stop0, stop1 = l0_files >= options.l0_stop_files, pending >= options.pending_hard_bytes
+    slow0, slow1 = l0_files >= options.l0_slowdown_files, pending >= options.pending_soft_bytes
+    states = (STOP, STOP, SLOWDOWN, SLOWDOWN, SLOWDOWN)
+    return list(zip((stop0, stop1, slow0 & slow1, slow0, slow1), states, REASONS, strict=False))
+
+
 def write_pressure(files: DataFrame, options: Options = Options()) -> DataFrame:
     """One row ``l0_files, pending_bytes, pressure, reason``. Stop wins, level 0 before bytes."""
     n0 = files.agg(F.count(F.when(F.col("level") == 0, 1)).alias("l0_files"))
     both = n0.join(pending_bytes(files, options))  # two one-row tables
-    stop0, stop1 = F.col("l0_files") >= options.l0_stop_files, F.col("pending_bytes") >= options.pending_hard_bytes
-    slow0, slow1 = F.col("l0_files") >= options.l0_slowdown_files, F.col("pending_bytes") >= options.pending_soft_bytes
-    state = F.when(stop0 | stop1, "stop").when(slow0 | slow1, "slowdown").otherwise("normal")
-    reason = (
-        F.when(stop0, "l0_stop_trigger").when(stop1, "pending_compaction_hard_limit")
-        .when(slow0 & slow1, "l0_and_pending_compaction_slowdown").when(slow0, "l0_slowdown_trigger")
-        .when(slow1, "pending_compaction_soft_limit").otherwise("below_thresholds")
-    )
+    state, reason = F.lit(NORMAL), F.lit(REASONS[-1])
+    for holds, its_state, its_reason in reversed(pressure_rules(F.col("l0_files"), F.col("pending_bytes"), options)):
+        state, reason = F.when(holds, its_state).otherwise(state), F.when(holds, its_reason).otherwise(reason)
     return both.select("l0_files", "pending_bytes", state.alias("pressure"), reason.alias("reason"))
 
 
@@ -163,6 +171,27 @@ def _hull(files: Sequence[File]) -> tuple[bytes, bytes]:
     return min(f.smallest_key for f in files), max(f.largest_key for f in files)
 
 
+def output_cuts(inputs: Sequence[File], below: Sequence[File], parts: int, most_below: int) -> list[bytes]:
+    """Keys at which the output of a merge is cut, from metadata alone.
+
+    ``parts`` ranges are cut at keys where input files begin, by the bytes before them. Besides,
+    a range ends where it would meet more than ``most_below`` bytes of the level after (a later
+    compaction of a file then has a bounded number of bytes to merge with).
+    """
+    starts = sorted({f.smallest_key for f in inputs})[1:]
+    total = sum(f.file_size for f in inputs)
+    before = {k: sum(f.file_size for f in inputs if f.largest_key < k) for k in starts}
+    cuts = {min(starts, key=lambda k: (abs(before[k] - total * i / parts), k)) for i in range(1, parts)} if starts else set()
+    held = 0
+    for f in sorted(below, key=lambda f: f.smallest_key):
+        held = 0 if f.smallest_key in cuts else held
+        if held and held + f.file_size > most_below:
+            cuts.add(f.smallest_key)
+            held = 0
+        held += f.file_size
+    return sorted(cuts)
+
+
 def pick(files: Sequence[File], options: Options = Options(), pointers: dict[int, bytes] | None = None) -> Plan | None:
     """The next compaction: the level of the highest score above one, the lowest on ties.
 
@@ -195,5 +224,9 @@ def pick(files: Sequence[File], options: Options = Options(), pointers: dict[int
         chosen, below = more, more_below
     low, high = _hull([*chosen, *below])
     grand = sum(f.file_size for f in _of_level(files, target + 1) if f.meets(low, high)) if target + 1 < options.levels else 0
-    limit = max(options.level_target(target), options.level1_target) * options.grandparent_factor
-    return Plan(source, target, tuple(chosen), tuple(below), len(chosen) == 1 and not below and grand <= limit)
+    return Plan(source, target, tuple(chosen), tuple(below), len(chosen) == 1 and not below and grand <= grandparent_limit(target, options))
+
+
+def grandparent_limit(target: int, options: Options) -> int:
+    """Bytes of the level after ``target`` that one of its files may meet."""
+    return max(options.level_target(target), options.level1_target) * options.grandparent_factor

@@ -6,6 +6,7 @@ Sequence numbers of snapshots are a quarter and a half of the log's last number.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ _SQL: dict[str, str] = {}
 
 #: A key with many versions, and requests with a repeated and a missing key.
 KEY = "user:000007"
+#: A key that is there at the middle snapshot.
+EARLY_KEY = "user:000002"
 REQUESTED = ("user:000003", "user:999999", "user:000007", "user:000003", "user:000010")
 LEVELS = Options(level1_target=20_000, l0_compaction_trigger=2, l0_slowdown_files=4, l0_stop_files=1000, pending_soft_bytes=100_000, pending_hard_bytes=10**12)
 FLUSH_ROWS = 500
@@ -119,10 +122,10 @@ def point_get(spark, sf):
     return V.get(D.event_log(spark, sf), KEY).select("key", "value")
 
 
-@_query(f"SELECT key, value FROM old WHERE key = '{KEY}'", "old")
+@_query(f"SELECT key, value FROM old WHERE key = '{EARLY_KEY}'", "old")
 def point_get_at_seq(spark, sf):
     log = D.event_log(spark, sf)
-    return V.get(log, KEY, _snapshots(log)[1]).select("key", "value")
+    return V.get(log, EARLY_KEY, _snapshots(log)[1]).select("key", "value")
 
 
 @_query(
@@ -206,12 +209,12 @@ def index_lookup(spark, sf):
 
 
 @_query(
-    "SELECT p.key, p.at, CASE WHEN e.kind = 0 THEN e.value END AS value, coalesce(e.kind = 0, FALSE) AS found FROM (SELECT key, seq - 1 AS at FROM ev WHERE seq % 5 = 0) p ASOF LEFT JOIN ev e ON p.key = e.key AND p.at >= e.seq",
+    "SELECT p.key, p.at, CASE WHEN e.kind = 0 THEN e.value END AS value, coalesce(e.kind = 0, FALSE) AS found FROM (SELECT key, seq - 1 AS at FROM ev) p ASOF LEFT JOIN ev e ON p.key = e.key AND p.at >= e.seq",
     "ev",
 )
 def as_of_join(spark, sf):
     log = D.event_log(spark, sf)
-    return V.as_of(log, log.where("seq % 5 = 0").select("key", (F.col("seq") - 1).alias("at")))
+    return V.as_of(log, log.select("key", (F.col("seq") - 1).alias("at")))
 
 
 @_query("SELECT key, seq, kind, value FROM ev", "ev")
@@ -290,16 +293,38 @@ def txn_commit_view(spark, sf):
     return committed.join(staged.select("key"), "key", "left_semi")
 
 
-@_query("SELECT key, value FROM latest", "latest")
+@_query(f"SELECT key, value FROM ({_AFTER}) WHERE key NOT IN ('user:000003', 'user:gone')", "latest")
 def txn_rollback_view(spark, sf):
-    return V.overlay(V.visible(D.event_log(spark, sf)), _ops(spark, []))
+    """Two transactions have staged operations; only those of the first are committed."""
+    kept = _ops(spark, _BATCH).withColumn("txn", F.lit(1))
+    dropped = _ops(spark, [("delete", "user:000004", None), ("put", "user:gone", "x"), ("put", "user:000001", "y")]).withColumn("txn", F.lit(2))
+    ended = spark.createDataFrame([(1, "commit"), (2, "rollback")], "txn int, outcome string")
+    staged = kept.unionByName(dropped).join(F.broadcast(ended.where("outcome = 'commit'")), "txn", "left_semi").drop("txn")
+    return V.overlay(V.visible(D.event_log(spark, sf)), staged).where("key not in ('user:000003', 'user:gone')")
+
+
+_GROUP_OPS, _GROUP_BYTES = 16, 1000
 
 
-@_query(None)
+@_query(
+    "WITH RECURSIVE ev AS (" + _WITH["ev"] + "), q AS (SELECT CAST(substr(key, 6) AS BIGINT) % 64 AS queue, seq AS pos, strlen(key) + coalesce(strlen(value), 0) + 20 AS bytes, row_number() OVER (PARTITION BY CAST(substr(key, 6) AS BIGINT) % 64 ORDER BY seq) AS i FROM ev), "
+    "g AS (SELECT queue, pos, i, 0 AS group_id, 1 AS n, bytes AS size FROM q WHERE i = 1 "
+    f"UNION ALL SELECT q.queue, q.pos, q.i, g.group_id + CASE WHEN g.n + 1 > {_GROUP_OPS} OR g.size + q.bytes > {_GROUP_BYTES} THEN 1 ELSE 0 END, CASE WHEN g.n + 1 > {_GROUP_OPS} OR g.size + q.bytes > {_GROUP_BYTES} THEN 1 ELSE g.n + 1 END, CASE WHEN g.n + 1 > {_GROUP_OPS} OR g.size + q.bytes > {_GROUP_BYTES} THEN q.bytes ELSE g.size + q.bytes END FROM g JOIN q ON q.queue = g.queue AND q.i = g.i + 1) "
+    "SELECT queue, pos, group_id::BIGINT AS group_id FROM g"
+)
 def write_groups(spark, sf):
     log = D.event_log(spark, sf)
-    queues = log.select(F.pmod(F.xxhash64("key"), F.lit(64)).alias("queue"), F.col("seq").alias("pos"), F.lit(1).alias("ops"), C.entry_bytes().cast("int").alias("bytes"))
-    return W.write_groups(queues, 16, 1000)
+    queue = F.pmod(F.substring("key", 6, 6).cast("long"), F.lit(64)).alias("queue")
+    return W.write_groups(log.select(queue, F.col("seq").alias("pos"), F.lit(1).alias("ops"), C.entry_bytes().cast("int").alias("bytes")), _GROUP_OPS, _GROUP_BYTES)
+
+
+@_query("SELECT seq, count(*) AS holders FROM (SELECT s1 AS seq FROM snap UNION ALL SELECT s2 FROM snap UNION ALL SELECT s2 FROM snap UNION ALL SELECT top FROM snap) GROUP BY seq", "snap")
+def snapshot_holders(spark, sf):
+    """How many snapshots hold each sequence number; the oldest bounds what compaction may drop."""
+    log = D.event_log(spark, sf)
+    first, second = _snapshots(log)
+    top = log.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+    return spark.createDataFrame([(s,) for s in (first, second, second, top)], "seq long").groupBy("seq").agg(F.count("*").alias("holders"))
 
 
 # Compaction and files ---------------------------------------------------------------------------
@@ -316,17 +341,17 @@ def compact_stripes(spark, sf):
     return C.compact(log, _snapshots(log)).select("key", "seq", "kind", "value")
 
 
-@_query("SELECT 0 AS changed_rows")
+@_query(
+    "SELECT read_at, key, value FROM (SELECT b.read_at, e.key, e.value, e.kind, row_number() OVER (PARTITION BY b.read_at, e.key ORDER BY e.seq DESC) AS rn FROM ev e, (SELECT s1 AS read_at FROM snap UNION SELECT s2 FROM snap UNION SELECT top FROM snap) b WHERE e.seq <= b.read_at) WHERE rn = 1 AND kind = 0",
+    "ev", "snap",
+)
 def compaction_invariance(spark, sf):
+    """What reads at the snapshots and at the end see of the compacted log; the SQL reads the whole one."""
     log = D.event_log(spark, sf)
-    held = _snapshots(log)
+    held = sorted({*_snapshots(log), log.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]})
     merged = C.compact(log, held)
-    changed = None
-    for seq in (*held, None):
-        before, after = (V.visible(x, seq).select("key", "value", F.lit(seq).alias("at")) for x in (log, merged))
-        both = before.exceptAll(after).unionByName(after.exceptAll(before))
-        changed = both if changed is None else changed.unionByName(both)
-    return changed.agg(F.count("*").cast("int").alias("changed_rows"))
+    views = [V.visible(merged, seq).select(F.lit(seq).cast("long").alias("read_at"), "key", "value") for seq in held]
+    return reduce(DataFrame.unionByName, views)
 
 
 def _files(spark, sf) -> DataFrame:
@@ -372,9 +397,17 @@ def key_range_hull(spark, sf):
     return _files(spark, sf).where("level = 1").agg(F.min("smallest_key").alias("smallest_key"), F.max("largest_key").alias("largest_key"))
 
 
-@_query("SELECT level, file_id FROM (SELECT *, lag(largest_key) OVER (PARTITION BY level ORDER BY smallest_key, file_id) AS p FROM ofiles) WHERE p >= smallest_key", "ofiles")
+@_query("SELECT level, file_id FROM (SELECT *, lag(largest_key) OVER (PARTITION BY level ORDER BY smallest_key, file_id) AS p FROM files WHERE level > 0) WHERE p >= smallest_key", "files")
 def level_overlap_check(spark, sf):
-    return C.level_overlaps(_order_files(spark, sf)).select("level", "file_id")
+    return C.level_overlaps(_files(spark, sf)).select("level", "file_id")
+
+
+@_query("SELECT level, file_id FROM (SELECT *, lag(largest_key) OVER (PARTITION BY level ORDER BY smallest_key, file_id) AS p FROM ofiles) WHERE p < smallest_key", "ofiles")
+def level_neighbours_apart(spark, sf):
+    """Files of a sorted level that lie behind their neighbour, as all but the first must."""
+    files = _order_files(spark, sf)
+    first = files.groupBy("level").agg(F.min_by("file_id", F.struct("smallest_key", "file_id")).alias("file_id"))
+    return files.select("level", "file_id").join(first, ["level", "file_id"], "left_anti").join(C.level_overlaps(files), ["level", "file_id"], "left_anti")
 
 
 _TARGET = f"CAST({LEVELS.level1_target} * pow({LEVELS.level_multiplier}, level - 1) AS BIGINT)"
@@ -434,9 +467,21 @@ def obsolete_files(spark, sf):
     return M.obsolete_files(_edits(spark, sf), 10)
 
 
-@_query("SELECT count(*) AS invalid FROM edits WHERE level < 0", "edits")
+_BAD = "SELECT edit_no, action, level, file_id FROM edits UNION ALL SELECT 1000000, 'add', 1, file_id FROM files UNION ALL SELECT 1000001, 'delete', 0, -1 - file_id FROM files UNION ALL SELECT 1000002, 'add', 7 + file_id, 5000000 + file_id FROM files UNION ALL SELECT 1000003, 'add', -1, 6000000 + file_id FROM files"
+
+
+@_query(
+    f"SELECT edit_no, action, level, file_id, reason FROM (SELECT *, CASE WHEN level < 0 OR level >= 7 THEN 'no such level' WHEN action = 'add' AND before = 'add' THEN 'file is there already' WHEN action = 'delete' AND (before IS NULL OR before = 'delete') THEN 'file isn''t there' END AS reason FROM (SELECT *, lag(action) OVER (PARTITION BY file_id ORDER BY edit_no) AS before FROM ({_BAD}))) WHERE reason IS NOT NULL",
+    "edits",
+)
 def edit_validation(spark, sf):
-    return M.invalid_edits(_edits(spark, sf), 7).agg(F.count("*").alias("invalid"))
+    """Edits with repeated, unknown and misplaced files among good ones."""
+    files = _files(spark, sf)
+    bad = [(1_000_000, "add", F.lit(1), F.col("file_id")), (1_000_001, "delete", F.lit(0), -1 - F.col("file_id")), (1_000_002, "add", 7 + F.col("file_id"), 5_000_000 + F.col("file_id")), (1_000_003, "add", F.lit(-1), 6_000_000 + F.col("file_id"))]
+    edits = _edits(spark, sf).select(F.col("edit_no").cast("long").alias("edit_no"), "action", F.col("level").cast("long").alias("level"), "file_id")
+    for number, action, level, file_id in bad:
+        edits = edits.unionByName(files.select(F.lit(number).cast("long").alias("edit_no"), F.lit(action).alias("action"), level.cast("long").alias("level"), file_id.alias("file_id")))
+    return M.invalid_edits(edits, 7).select("edit_no", "action", "level", "file_id", "reason")
 
 
 # Metrics ------------------------------------------------------------------------------------------
@@ -504,6 +549,41 @@ def bench_keyspace(spark, sf):
     return spark.range(1000).select(codec.bench_key(i).alias("key"), codec.log_name(i).alias("log_name"), codec.bloom_bits(i + 1, 0.01).alias("bloom_bits"))
 
 
+_NUMBER = "CAST(event_id AS BIGINT) * event_id * 7919 + event_id"
+_VARINT = " || ".join(f"CASE WHEN {i} = 0 OR n >= {1 << 7 * i} THEN printf('%02X', ((n >> {7 * i}) & 127) | CASE WHEN n >= {1 << 7 * (i + 1)} THEN 128 ELSE 0 END) ELSE '' END" for i in range(8))
+
+
+@_query(f"SELECT n, {_VARINT} AS encoded, n AS decoded FROM (SELECT {_NUMBER} AS n FROM events)")
+def varint_codec(spark, sf):
+    i = F.col("event_id").cast("long")
+    numbers = D.table(spark, sf, "events").select((i * i * 7919 + i).alias("n"))
+    encoded = numbers.select("n", codec.varint_column(F.col("n")).alias("bytes"))
+    return encoded.select("n", F.hex("bytes").alias("encoded"), codec.read_varint_column(F.col("bytes")).alias("decoded"))
+
+
+@_query(
+    "SELECT event_id, string_agg(printf('%02X', n) || upper(hex(c)), '' ORDER BY pos) AS encoded, any_value(text) AS decoded FROM (SELECT event_id, text, c, count(*) AS n, min(i) AS pos FROM (SELECT event_id, text, i, substr(text, i, 1) AS c, i - row_number() OVER (PARTITION BY event_id, substr(text, i, 1) ORDER BY i) AS island FROM (SELECT event_id, text, unnest(range(1, strlen(text) + 1)) AS i FROM (SELECT event_id, CAST(event_id * 1001 AS VARCHAR) || repeat('0', CAST(event_id % 7 AS INTEGER)) AS text FROM events))) GROUP BY event_id, text, c, island) GROUP BY event_id",
+)
+def run_length_codec(spark, sf):
+    text = F.expr("concat(cast(event_id * 1001 as string), repeat('0', cast(event_id % 7 as int)))")
+    packed = D.table(spark, sf, "events").select("event_id", codec.rle_column(text.cast("binary")).alias("bytes"))
+    return packed.select("event_id", F.hex("bytes").alias("encoded"), codec.read_rle_column(F.col("bytes")).cast("string").alias("decoded"))
+
+
+@_query("SELECT least(length(key), 11) AS n, substr(key, 1, 11) AS prefix, count(*) AS keys FROM latest GROUP BY ALL", "latest")
+def bloom_prefixes(spark, sf):
+    """What bloom filters with a prefix length of 11 hold of the live keys, and for how many of them."""
+    held = V.visible(D.event_log(spark, sf)).select(codec.bloom_key(F.col("key"), 11).cast("string").alias("prefix"))
+    return held.groupBy(F.length("prefix").cast("long").alias("n"), "prefix").agg(F.count("*").alias("keys"))
+
+
+@_query("SELECT name, CASE WHEN regexp_full_match(name, 'MANIFEST-[0-9]+') THEN CAST(substr(name, 10) AS BIGINT) END AS number FROM (SELECT CASE i % 4 WHEN 0 THEN 'CURRENT' WHEN 1 THEN 'MANIFEST-' || i WHEN 2 THEN 'MANIFEST-' || i || '.tmp' ELSE printf('MANIFEST-%06d', i) END AS name FROM range(40) t(i))")
+def manifest_names(spark, sf):
+    i = F.col("id")
+    name = F.when(i % 4 == 0, "CURRENT").when(i % 4 == 1, F.concat(F.lit("MANIFEST-"), i)).when(i % 4 == 2, F.concat(F.lit("MANIFEST-"), i, F.lit(".tmp"))).otherwise(F.format_string("MANIFEST-%06d", i))
+    return spark.range(40).select(name.alias("name")).select("name", codec.manifest_number(F.col("name")).alias("number"))
+
+
 @_query("SELECT p AS part, p * (1003 // 16) + least(p, 1003 % 16) AS range_begin, (p + 1) * (1003 // 16) + least(p + 1, 1003 % 16) AS range_end FROM range(16) t(p)")
 def split_ranges(spark, sf):
     begin, end = codec.split_range(1003, 16, F.col("id"))
@@ -540,6 +620,22 @@ def wal_roundtrip(spark, sf):
     return _decoded(spark, _wal_bytes(spark, sf))
 
 
+@_query("SELECT (seq - 1) // 5000 AS number, count(*) AS entries, max(seq) AS last_sequence, FALSE AS truncated FROM ev GROUP BY 1", "ev")
+def wal_replay_stats(spark, sf):
+    """What the replay of each log file finds."""
+    import pyarrow as pa
+
+    from seqlake.sources.wal import replay
+
+    def read(batches):
+        for batch in batches:
+            found = [replay(content) for content in batch.column(1).to_pylist()]
+            columns = [batch.column(0).cast(pa.int64()), pa.array([len(r.rows) for r in found], pa.int64()), pa.array([r.max_sequence for r in found], pa.int64()), pa.array([r.truncated for r in found])]
+            yield pa.RecordBatch.from_arrays(columns, ["number", "entries", "last_sequence", "truncated"])
+
+    return _wal_bytes(spark, sf).select("number", "content").mapInArrow(read, "number long, entries long, last_sequence long, truncated boolean")
+
+
 @_query("SELECT key, seq, kind, value FROM ev, (SELECT min(seq) AS low, max(seq) AS top FROM ev) WHERE seq < low + (top - low) // 10 * 10", "ev")
 def wal_torn_tail(spark, sf):
     return _decoded(spark, _wal_bytes(spark, sf), torn=True)

@@ -14,6 +14,7 @@ class Files:
 
     def __init__(self, spark: SparkSession):
         self.jvm, self.conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        self.gateway = spark.sparkContext._gateway
 
     def _at(self, path: str):
         target = self.jvm.org.apache.hadoop.fs.Path(path)
@@ -44,15 +45,22 @@ class Files:
             stream.close()
 
     def write(self, path: str, data: bytes) -> None:
-        """Write all or nothing: a temporary file is moved to its place when it is whole."""
+        """Write all or nothing: a temporary file replaces what is there in one step when it is whole."""
         fs, target = self._at(path)
         part = self.jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
         stream = fs.create(part, True)
         stream.write(bytearray(data))
         stream.close()
-        if fs.exists(target):
-            fs.delete(target, False)
-        fs.rename(part, target)
+        jvm = self.jvm.org.apache.hadoop.fs
+        options = self.gateway.new_array(jvm.Options.Rename, 1)
+        options[0] = jvm.Options.Rename.OVERWRITE
+        jvm.FileContext.getFileContext(target.toUri(), self.conf).rename(part, target, options)
+
+    def move(self, path: str, to: str) -> None:
+        """Move a file or folder to a place that is free."""
+        fs, target = self._at(path)
+        if not fs.rename(target, self.jvm.org.apache.hadoop.fs.Path(to)):
+            raise OSError(f"{path} can't be moved to {to}")
 
 
 def scratch(spark: SparkSession, label: str) -> str:

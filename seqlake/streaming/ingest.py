@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from seqlake.operators.reads import visible
+from seqlake.sources.files import Files
 
 
 def ingest(changes: DataFrame, path: str, checkpoint: str, available_now: bool = True, interval: str = "10 seconds") -> StreamingQuery:
@@ -25,7 +26,9 @@ def ingest(changes: DataFrame, path: str, checkpoint: str, available_now: bool =
 
 
 def ingested(spark: SparkSession, path: str, schema) -> DataFrame:
-    """The log that :func:`ingest` has written."""
+    """The log that :func:`ingest` has written; empty before the first batch with rows."""
+    if not [n for n in Files(spark).names(path) if n.startswith("batch=")]:
+        return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(f"{path}/*")
 
 
@@ -43,4 +46,5 @@ def latest_view(spark: SparkSession, changes: DataFrame, path: str, checkpoint:
 def request_rate(requests: DataFrame, window: str = "60 seconds", slide: str = "1 second", late: str = "2 minutes") -> DataFrame:
     """Requests per second over sliding windows of a request stream; rows later than ``late`` are dropped."""
     counted = requests.withWatermark("ts", late).groupBy(F.window("ts", window, slide)).agg(F.count("*").alias("requests"))
-    return counted.select(F.col("window.end").alias("until"), "requests", (F.col("requests") / 60.0).alias("qps"))
+    seconds = F.unix_micros("window.end") - F.unix_micros("window.start")
+    return counted.select(F.col("window.end").alias("until"), "requests", (F.col("requests") * 1_000_000.0 / seconds).alias("qps"))

@@ -38,14 +38,6 @@ def test_bad_run_lengths(data, size):
         codec.rle_decode(data, size)
 
 
-@given(st.binary(max_size=6), st.binary(max_size=6))
-def test_separator(a, b):
-    low, high = sorted((a, b))
-    if low < high:
-        found = codec.shortest_separator(low, high)
-        assert low <= found < high and len(found) <= max(len(low), 1)
-
-
 def test_internal_keys_sort_newest_first(spark):
     rows = [(bytearray(b"a"), 1, 0), (bytearray(b"a"), 2, 1), (bytearray(b"b"), 2**55, 0)]
     df = spark.createDataFrame(rows, "key binary, seq long, kind int")
@@ -61,8 +53,19 @@ def test_unknown_kind_is_an_error(spark):
 
 
 def test_codec_columns(spark):
-    df = spark.range(300).select(codec.read_varint_column(codec.varint_column("id")).alias("n"), "id")
-    assert df.where("n <> id").count() == 0
+    numbers = [0, 1, 127, 128, 300, 2**14 - 1, 2**14, 2**35 + 7, 2**62, 2**63 - 1, None]
+    df = spark.createDataFrame([(n,) for n in numbers], "n long").withColumn("bytes", codec.varint_column(F.col("n")))
+    for row in df.withColumn("back", codec.read_varint_column(F.col("bytes"))).collect():
+        assert row["back"] == row["n"] and (row["n"] is None or bytes(row["bytes"]) == codec.varint(row["n"]))
+    texts = [b"", b"a", b"aaab", b"\x00" * 600, bytes(range(256)), b"\x11\x11\x10\x01\x01", None]
+    df = spark.createDataFrame([(None if t is None else bytearray(t),) for t in texts], "t binary").withColumn("bytes", codec.rle_column(F.col("t")))
+    for row in df.withColumn("back", codec.read_rle_column(F.col("bytes"))).collect():
+        assert row["back"] == row["t"] and (row["t"] is None or bytes(row["bytes"]) == codec.rle_encode(bytes(row["t"])))
+
+
+def test_bench_values(spark):
+    values = [r[0] for r in spark.range(30).select(codec.bench_value(F.col("id"), 100)).collect()]
+    assert values[0].startswith("abc") and values[1].startswith("bcd") and values[26] == values[0] and {len(v) for v in values} == {100}
 
 
 def test_replay_of_whole_log():

@@ -1,7 +1,11 @@
+import threading
+import time
+
 import pytest
 
 from seqlake.errors import Conflict, Corruption, InvalidArgument, NotFound, Unavailable
 from seqlake.model import Options, ScanOptions
+from seqlake.operators import compaction
 from seqlake.plans.store import Service, Store, delete, put
 
 
@@ -165,3 +169,122 @@ def test_service_checks_requests(spark, base):
     assert not service.get(b"k")["found"]
     number = service.create_snapshot()["snapshot_id"]
     service.release_snapshot(number)
+
+
+def test_compaction_cuts_its_output_and_writes_it_in_one_job(spark, base):
+    store = Store(spark, base, Options(l0_compaction_trigger=1, max_subcompactions=3))
+    for turn in range(3):
+        store.put_batch([(b"%02d%03d" % (turn, i), b"v" * 20) for i in range(50)])
+        store.flush()
+    store.put_batch([(b"00000", b"new"), (b"02049", b"new")])
+    store.flush()
+    before = store.scan()
+    assert store.compact() >= 1
+    level = sorted((f for f in store.files if f.level == max(f.level for f in store.files)), key=lambda f: f.smallest_key)
+    assert len(level) == 3 and all(a.largest_key < b.smallest_key for a, b in zip(level, level[1:], strict=False))
+    assert store.scan() == before and Store(spark, base, store.options).scan() == before
+    assert not [n for n in store.fs.names(f"{base}/data") if n.endswith(".tmp")]
+
+
+def test_output_is_cut_where_it_would_meet_too_much_below():
+    file = lambda n, low, high, size: compaction.File(1, n, "", size, low, high, 1, 1)
+    inputs = [file(1, b"a", b"m", 50), file(2, b"n", b"z", 50)]
+    below = [file(3 + i, b"%c0" % (97 + i), b"%c9" % (97 + i), 40) for i in range(20)]
+    assert compaction.output_cuts(inputs, [], 1, 100) == []
+    assert compaction.output_cuts(inputs, [], 2, 100) == [b"n"]
+    cuts = compaction.output_cuts(inputs, below, 1, 100)
+    for low, high in zip([b"", *cuts], [*cuts, b"~"], strict=True):
+        assert sum(f.file_size for f in below if low <= f.smallest_key < high) <= 100
+    assert compaction.output_cuts(inputs, below, 1, 10**9) == []
+    large = [file(9, b"c", b"d", 500), file(10, b"e", b"f", 500)]
+    assert compaction.output_cuts(inputs, large, 1, 100) == [b"e"]
+
+
+def test_writers_that_wait_share_a_log(spark, base):
+    store = Store(spark, base)
+    threads = [threading.Thread(target=store.put, args=(b"k%02d" % i, b"v")) for i in range(20)]
+    with store.lock:
+        for t in threads:
+            t.start()
+        deadline = time.time() + 20
+        while len(store.queue) < 20 and time.time() < deadline:
+            time.sleep(0.01)
+    for t in threads:
+        t.join()
+    assert len(store.scan()) == 20 and store.last_seq == 20
+    assert len(store.fs.names(f"{base}/wal")) == 1
+    assert Store(spark, base).scan() == store.scan()
+
+
+def test_queue_limits_hold_writers_back(spark, base):
+    store = Store(spark, base, Options(queue_max_requests=2, group_max_ops=2))
+    threads = [threading.Thread(target=store.put, args=(b"k%d" % i, b"v" * 100)) for i in range(6)]
+    with store.lock:
+        for t in threads:
+            t.start()
+        time.sleep(0.5)
+        assert len(store.queue) == 2
+    for t in threads:
+        t.join(30)
+    assert len(store.scan()) == 6 and len(store.fs.names(f"{base}/wal")) >= 3
+    tight = Store(spark, base + "2", Options(queue_max_bytes=10))
+    tight.put(b"large", b"v" * 1000)  # larger than the queue, but alone
+    assert tight.get(b"large") == b"v" * 1000
+
+
+def test_a_group_that_fails_tells_every_writer(spark, base):
+    store = Store(spark, base)
+    store.flush_failures = store.options.flush_failure_limit
+    with pytest.raises(Unavailable):
+        store.put(b"k", b"v")
+    assert store.queue == [] and store.ready() == {"ready": False, "reason": "flushes keep failing"}
+    store.flush_failures = 0
+    store.put(b"k", b"v")
+    assert store.ready()["ready"] and store.live() == {"status": "alive"}
+
+
+def test_backlog_of_unflushed_batches(spark, base):
+    store = Store(spark, base, Options(max_unflushed_batches=2))
+    store.put(b"a", b"1")
+    store.put(b"b", b"2")
+    with pytest.raises(Unavailable, match="wait for a flush"):
+        store.put(b"c", b"3")
+    again = Store(spark, base, store.options)
+    with pytest.raises(Unavailable):
+        again.put(b"c", b"3")
+    again.flush()
+    again.put(b"c", b"3")
+    assert [k for k, _ in again.scan()] == [b"a", b"b", b"c"]
+
+
+def test_pressure_on_the_driver_is_that_of_the_operator(spark, base):
+    store = Store(spark, base, Options(l0_slowdown_files=1, l0_stop_files=9, pending_soft_bytes=1, l0_compaction_trigger=1))
+    for i in range(2):
+        store.put(b"k%d" % i, b"v")
+        store.flush()
+        mine = store.pressure()
+        row = compaction.write_pressure(store.files_frame(), store.options).first()
+        assert (row["l0_files"], row["pending_bytes"], row["pressure"], row["reason"]) == (mine["l0_files"], mine["pending_compaction_bytes"], mine["pressure"], mine["reason"])
+    assert store.pressure()["reason"] == "l0_and_pending_compaction_slowdown"
+
+
+def test_snapshot_counts(spark, base):
+    store = Store(spark, base)
+    store.create_snapshot()
+    store.put(b"k", b"v")
+    first, _ = store.create_snapshot(), store.create_snapshot()
+    assert store.snapshot_counts() == [(0, 1), (1, 2)]
+    store.release_snapshot(first)
+    assert store.snapshot_counts() == [(0, 1), (1, 1)]
+
+
+def test_a_file_is_replaced_in_one_step(spark, base):
+    store = Store(spark, base)
+    path = f"{base}/meta/CURRENT"
+    store.fs.write(path, b"one")
+    store.fs.write(path, b"two")
+    assert store.fs.read(path) == b"two"
+    # A crash before the rename leaves the old content and a temporary file.
+    part = f"{path}.x.tmp"
+    store.fs.write(part, b"three")
+    assert store.fs.read(path) == b"two"

@@ -25,4 +25,15 @@ def test_request_rate_stream(spark, tmp_path):
     stream = spark.readStream.schema("ts timestamp").parquet(source)
     query = S.request_rate(stream, slide="30 seconds").writeStream.format("memory").queryName("rates").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
-    assert spark.table("rates").agg(F.max("requests")).first()[0] == 60
+    assert spark.table("rates").agg(F.max("requests"), F.max("qps")).first() == (60, 1.0)
+    query = S.request_rate(stream, window="30 seconds", slide="30 seconds").writeStream.format("memory").queryName("short").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert {tuple(r) for r in spark.table("short").select("requests", "qps").collect()} == {(30, 1.0)}
+
+
+def test_a_stream_without_rows(spark, tmp_path):
+    source, path, state = (str(tmp_path / n) for n in ("in", "log", "state"))
+    rows = spark.range(0).select(F.lit("k").alias("key"), F.col("id").alias("seq"), F.lit(0).alias("kind"), F.lit("v").alias("value"))
+    rows.write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).parquet(source)
+    assert S.latest_view(spark, stream, path, state).count() == 0
