@@ -51,6 +51,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     gives later joins real sizes, so that AQE can split hot keys on both sides.
     """
     spark = df.sparkSession
+    prepare(spark)
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -62,8 +63,13 @@ def drop_table(df: DataFrame) -> None:
         drop_path(df.sparkSession, path)
 
 
-def _let_workers_import(spark: SparkSession) -> None:
-    """Python workers find this package where the driver found it, if it isn't installed there."""
+#: Bytes of an Arrow batch that a Python worker gets, or a single row if that is larger.
+BATCH_BYTES = 8 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver found it, and bound their batches by bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     env = spark.sparkContext.environment
     root = str(Path(__file__).resolve().parents[2])
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
@@ -72,10 +78,35 @@ def _let_workers_import(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    _let_workers_import(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Longs of a table of marks: with its 64 bits each it tells some million keys from others, and
+#: broadcast it takes about 16 MB, however many keys there are.
+MARK_WORDS = 1 << 19
+
+
+def marks(keys: DataFrame, *columns: str | Column) -> DataFrame:
+    """A table ``word, bits`` of at most MARK_WORDS rows with a bit for each key."""
+    digest = F.xxhash64(*columns)
+    word, bit = digest.bitwiseAND(F.lit(MARK_WORDS - 1)), F.shiftrightunsigned(digest, 58).cast("int")
+    return materialize(keys.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")), "marks")
+
+
+def with_mark(df: DataFrame, marked: DataFrame, name: str, *columns: str | Column) -> DataFrame:
+    """``df`` with a boolean column ``name``: false where the key isn't in the table for sure.
+
+    What is marked by chance has to be sorted out by an exact join; the rest needs no shuffle.
+    With far more keys than bits all rows are marked, which costs the shuffle but stays right.
+    """
+    word, bits = fresh(df, "_word", "_bits")
+    digest = F.xxhash64(*columns)
+    joined = df.join(F.broadcast(marked.select(F.col("word").alias(word), F.col("bits").alias(bits))), digest.bitwiseAND(F.lit(MARK_WORDS - 1)) == F.col(word), "left")
+    hit = F.call_function("shiftrightunsigned", F.col(bits), F.shiftrightunsigned(digest, 58).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return joined.select(*df.columns, F.coalesce(hit, F.lit(False)).alias(name))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone; other letters stay as they are."""
     return F.translate(text, _UPPER, _UPPER.lower())

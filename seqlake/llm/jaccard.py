@@ -6,13 +6,19 @@ tokens first, so that texts without a near copy have no prefix token that anothe
 share. How rare a token is comes from two sketches of fixed size over all documents: cells
 that exactly one token occurrence of the corpus fell into (that token is in no other
 document), and coarse counts that push frequent tokens to the end. Sketches only choose the
-orders: any order gives right results. Ties are broken by another hash in each order; a pair
-is verified exactly only if it shares prefix tokens under every order.
-
-Documents that share a prefix token aren't paired with each other. Each task links its own
-to the least of them, and only those leaders are shuffled, so a token of a third of all
-documents costs a row per task. Verified links give components; then pairs that share a
-prefix token but lie in different components are verified: first star by star, at last all.
+orders: any order gives right results. Ties are broken by another hash in each order.
+
+Candidates share a prefix token under the first order. Before a text is looked at, a candidate
+must pass the filters of all orders together: sizes, prefix tokens under each other order (as
+256 bits each, which two prefixes with a common token can't have disjoint), and parities of 512
+cells of the whole sets (the cells that differ are at most the tokens that differ). What is left
+is verified exactly.
+
+Documents that share a prefix token aren't paired with each other. Those of a token are linked to
+one of them, a row each, and verified links give components. Then stars around other documents
+join what lies in different components. What still does is compared across components alone, a
+token's largest component with what lies outside it, where all filters hold and the token is the
+first that both have.
 """
 
 from __future__ import annotations
@@ -24,10 +30,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize
+from .common import drop_table, fresh, marks, materialize, prepare, with_mark
 from .components import connected_components
 from .shingles import mix, shingle_sets
 from .textbuf import slices
@@ -41,10 +47,16 @@ _CHUNKS = 256
 #: Rows of a chunk that one task adds up.
 _CHUNK_ROWS = 256
 _PROFILE = "id long, n long, h1 long, h2 long, chunk int, cells binary"
-#: Prefix tokens that a task holds before it hands on its leaders.
-TASK_ROWS = 2_000_000
-#: Rounds of stars over what lies in different components before all such pairs are taken.
+#: Tokens that a task holds before it hands on a sketch of them.
+TASK_ROWS = 1_000_000
+#: Rounds of stars over what lies in different components before it is compared.
 STAR_ROUNDS = 1
+#: Open tokens of a document up to which pairs are told apart by their first common one. Pairs
+#: of longer documents come once a token, and are made distinct later.
+LISTED = 256
+#: Longs of the parities, and of the prefix tokens of each order but the first.
+_PARITIES, _BITS = 8, 4
+_SIGNATURE = [f"p{i}" for i in range(_PARITIES)] + [f"q{j}{i}" for j in range(1, ORDERS) for i in range(_BITS)]
 
 
 class Sketch:
@@ -73,17 +85,18 @@ def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
     return (percent * n + 99) // 100
 
 
-def _prefixes(sizes: np.ndarray, hashes: np.ndarray, sketch: Sketch, order: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(set index, token) of the prefix tokens that another document could have, and how many of
-    each set's tokens another could have."""
+def _prefixes(sizes: np.ndarray, hashes: np.ndarray, sketch: Sketch, order: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(set index, token, place) of the prefix tokens that another document could have, and how
+    many of each set's tokens another could have."""
     owner = np.repeat(np.arange(len(sizes)), sizes)
     key, shared = sketch.keys(hashes, order)
     by = np.argsort(key)
     by = by[np.argsort(owner[by].astype(np.uint32), kind="stable")]
     rank = np.arange(len(by)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     length = sizes - least_overlap(sizes, percent) + 1
-    take = by[(rank < length[owner]) & shared[by]]
-    return owner[take], hashes[take], np.bincount(owner, weights=shared, minlength=len(sizes)).astype(np.int64)
+    taken = (rank < length[owner]) & shared[by]
+    take = by[taken]
+    return owner[take], hashes[take], rank[taken], np.bincount(owner, weights=shared, minlength=len(sizes)).astype(np.int64)
 
 
 def _digests(sizes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +135,8 @@ def _profile(width: int):
             cells = np.sort((mix(tokens, 7) >> np.uint64(64 - CELL_BITS)).astype(np.uint32))
             step = (1 << CELL_BITS) // _CHUNKS
             cut = np.searchsorted(cells, np.arange(_CHUNKS + 1, dtype=np.uint64) * np.uint64(step))
-            blobs = [_pack((cells[cut[c] : cut[c + 1]] & np.uint32(step - 1)).astype(np.uint32)) for c in range(_CHUNKS)]
+            # Cells ascend, so steps from one to the next take about a byte.
+            blobs = [_pack(np.diff(cells[cut[c] : cut[c + 1]] & np.uint32(step - 1), prepend=np.uint32(0))) for c in range(_CHUNKS)]
             coarse = np.bincount((mix(tokens, 8) >> np.uint64(64 - COARSE_BITS)).astype(np.int64), minlength=1 << COARSE_BITS).astype(np.uint32)
             blobs += [_pack(x) for x in coarse.reshape(_CHUNKS, -1)]
             k = len(blobs)
@@ -141,7 +155,7 @@ def _profile(width: int):
                 keep = np.zeros(k, bool)
                 keep[firsts] = True
                 held.append(hashes[np.repeat(keep, sizes)])
-                if sum(map(len, held)) >= 2 * TASK_ROWS:
+                if sum(map(len, held)) >= TASK_ROWS:
                     yield from sketches()
                     held = []
         if held:
@@ -165,7 +179,7 @@ def _add_chunks(rows: pd.DataFrame) -> pd.DataFrame:
     cells = np.zeros((1 << CELL_BITS) // _CHUNKS, np.uint8)
     for blob in rows["cells"]:
         if listed:
-            own, n = np.unique(_unpack(blob), return_counts=True)
+            own, n = np.unique(np.cumsum(_unpack(blob)), return_counts=True)
             cells[own] = np.minimum(cells[own] + n, 2)
         else:
             quads = np.frombuffer(zstandard.decompress(blob), np.uint8)
@@ -193,79 +207,79 @@ def build_sketch(profile: DataFrame) -> Sketch:
     return Sketch(cells, np.clip(np.log2(np.maximum(coarse / usual, 1)), 0, 60).astype(np.uint8))
 
 
-def _leaders(shared, width: int, percent: int):
-    """Rows (token, rank, a, b): a token's leader in this task (a), or a link of a member to it (a, b).
+def _bits(owner: np.ndarray, at: np.ndarray, k: int, longs: int, odd: bool) -> np.ndarray:
+    """[k, longs]: bits ``at`` of each owner that were hit (an odd number of times, if ``odd``)."""
+    n = np.bincount(owner * (64 * longs) + at, minlength=k * 64 * longs)
+    return np.packbits((n & 1 if odd else n > 0).reshape(k, -1), axis=1, bitorder="little").view(np.int64)
 
-    A leader has the least rank, the share of its tokens that no other text has: of texts that
-    were made from one another the one nearest to all, to which the most links go.
-    """
-    names = ["token", "rank", "a", "b"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = shared.value
-        tokens: list[np.ndarray] = []
-        owners: list[np.ndarray] = []
-        ranks: list[np.ndarray] = []
-
-        def links() -> Iterator[pa.RecordBatch]:
-            token, owner, rank = np.concatenate(tokens), np.concatenate(owners), np.concatenate(ranks)
-            by = np.lexsort((owner, rank, token))
-            token, owner, rank = token[by].view(np.int64), owner[by], rank[by]
-            new = np.ones(len(token), bool)
-            new[1:] = token[1:] != token[:-1]
-            leader = owner[np.flatnonzero(new)][np.cumsum(new) - 1]
-            yield pa.RecordBatch.from_arrays([pa.array(token[new]), pa.array(rank[new]), pa.array(owner[new]), pa.nulls(int(new.sum()), pa.int64())], names)
-            pairs = np.unique(np.stack([leader, owner])[:, leader != owner], axis=1)
-            if k := pairs.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(pairs[0]), pa.array(pairs[1])], names)
+def _signatures(sizes: np.ndarray, hashes: np.ndarray, sketch: Sketch, percent: int) -> list[np.ndarray]:
+    """A column for each name of _SIGNATURE."""
+    k = len(sizes)
+    place = lambda tokens, salt, longs: (mix(tokens, salt) % np.uint64(64 * longs)).astype(np.int64)
+    parts = [_bits(np.repeat(np.arange(k), sizes), place(hashes, 31, _PARITIES), k, _PARITIES, True)]
+    for order in range(1, ORDERS):
+        owner, tokens, _, _ = _prefixes(sizes, hashes, sketch, order, percent)
+        parts.append(_bits(owner, place(tokens, 32, _BITS), k, _BITS, False))
+    return [np.ascontiguousarray(c) for part in parts for c in part.T]
 
-        for batch in slices(batches):
-            ids = batch.column(0).to_numpy()
-            for first, sizes, hashes in shingle_sets(_texts(batch.column(1)), width):
-                own, token, shared_tokens = _prefixes(sizes, hashes, sketch, 0, percent)
-                tokens.append(token)
-                owners.append(ids[first + own])
-                ranks.append((1000 * (sizes - shared_tokens) // np.maximum(sizes, 1))[own])
-                if sum(map(len, tokens)) >= TASK_ROWS:
-                    yield from links()
-                    tokens, owners, ranks = [], [], []
-        if sum(map(len, tokens)):
-            yield from links()
 
-    return run
+def _candidates(shared, width: int, percent: int):
+    """Rows (token, id, rank, n, reach) of the prefix tokens of sets, and (id, n, h1, signature, text)
+    of those that have any. Of equal sets of a buffer only the first is given.
 
+    ``reach`` is the largest set that this token can be the first common one with: what stands
+    before it isn't shared then, so the overlap is at most what is left.
 
-def _members(shared, width: int, percent: int):
-    """Rows (token, id, n, common): every prefix token of every document."""
+    ``rank`` is the share of the set's tokens that no other text has: of texts that were made
+    from one another, the one of least rank is nearest to all.
+    """
+    names = ["token", "id", "rank", "reach", "n", "h1", *_SIGNATURE, "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = shared.value
+
+        def row(columns: dict) -> pa.RecordBatch:
+            k = len(columns["id"])
+            return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(k, pa.int32() if c in ("rank", "reach") else pa.string() if c == "text" else pa.int64())) for c in names], names)
+
         for batch in slices(batches):
-            ids = batch.column(0).to_numpy()
-            for first, sizes, hashes in shingle_sets(_texts(batch.column(1)), width):
-                own, token, shared_tokens = _prefixes(sizes, hashes, sketch, 0, percent)
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(ids[first + own]), pa.array(sizes[own]), pa.array(shared_tokens[own])], ["token", "id", "n", "common"])
+            ids, column = batch.column(0).to_numpy(), batch.column(1)
+            for first, sizes, hashes in shingle_sets(_texts(column), width):
+                own, token, place, common = _prefixes(sizes, hashes, sketch, 0, percent)
+                has = np.zeros(len(sizes), bool)
+                has[own] = True
+                h1, h2 = _digests(sizes, hashes)
+                _, firsts = np.unique(np.stack([h1, h2]), axis=1, return_index=True)
+                new = np.zeros(len(sizes), bool)
+                new[firsts] = True
+                has &= new
+                if not has.any():
+                    continue
+                rank = (1000 * (sizes - common) // np.maximum(sizes, 1)).astype(np.int32)
+                keep = has[own]
+                own, token, n = own[keep], token[keep], sizes[own[keep]]
+                reach = ((n - place[keep]) * (100 + percent) // percent - n).astype(np.int32)
+                yield row({"token": pa.array(token.view(np.int64)), "id": pa.array(ids[first + own]), "rank": pa.array(rank[own]), "reach": pa.array(reach), "n": pa.array(n)})
+                at = np.flatnonzero(has)
+                signature = _signatures(sizes[at], hashes[np.repeat(has, sizes)], sketch, percent)
+                texts = column.take(pa.array(first + at))
+                yield row({"id": pa.array(ids[first + at]), "n": pa.array(sizes[at]), "h1": pa.array(h1[at]), "text": texts.cast(pa.string())} | {c: pa.array(x) for c, x in zip(_SIGNATURE, signature, strict=True)})
 
     return run
 
 
-def _verify(shared, width: int, percent: int):
-    """Of rows (a, b, text a, text b) those whose sets pass every filter and the exact test."""
+def _verify(width: int, percent: int):
+    """Of rows (a, b, text a, text b) those whose sets pass the exact test."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = shared.value
-
-        @lru_cache(maxsize=64)
-        def known(text: str) -> tuple[np.ndarray, list[np.ndarray]]:
-            [(_, sizes, hashes)] = shingle_sets([text.encode("utf-8", "replace")], width)
-            return hashes, [np.sort(_prefixes(sizes, hashes, sketch, j, percent)[1]) for j in range(1, ORDERS)]
+        @lru_cache(maxsize=16)
+        def known(text: str) -> np.ndarray:
+            [(_, _, hashes)] = shingle_sets([text.encode("utf-8", "replace")], width)
+            return hashes
 
         def linked(x: str, y: str) -> bool:
-            (a, prefixes_a), (b, prefixes_b) = known(x), known(y)
-            if percent * max(len(a), len(b)) > 100 * min(len(a), len(b)):
-                return False
-            if not all(len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(prefixes_a, prefixes_b, strict=True)):
-                return False
+            a, b = known(x), known(y)
             both = len(np.intersect1d(a, b, assume_unique=True))
             return 100 * both >= percent * (len(a) + len(b) - both)
 
@@ -276,6 +290,15 @@ def _verify(shared, width: int, percent: int):
     return run
 
 
+def _filters(percent: int, x: str, y: str) -> Column:
+    """What sizes and signatures of two linked sets must fulfil."""
+    differ = " + ".join(f"bit_count({x}.p{i} ^ {y}.p{i})" for i in range(_PARITIES))
+    met = [" or ".join(f"({x}.q{j}{i} & {y}.q{j}{i}) <> 0" for i in range(_BITS)) for j in range(1, ORDERS)]
+    # Sets of overlap o differ in n + m - 2 o tokens, and 100 o >= percent (n + m - o).
+    sizes = f"{percent} * greatest({x}.n, {y}.n) <= 100 * least({x}.n, {y}.n)"
+    return F.expr(f"{sizes} and {100 + percent} * ({differ}) <= {100 - percent} * ({x}.n + {y}.n) and " + " and ".join(f"({m})" for m in met))
+
+
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: ``id, n_shingles, component_id``.
 
@@ -283,83 +306,133 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shingles. ``component_id`` is the smallest id that links reach. A null text, or one
     without words, has an empty set and links with nothing, as has a row whose id is null
     (its component is null). Ids are integers; rows that share one are one node. Repeated rows
-    give repeated rows; an empty table gives none. Whole texts count.
+    give repeated rows; an empty table gives none. Whole texts count: a long one is a batch of
+    its own, about ten times its size in memory. Only the two columns named are read, so other
+    columns can't clash.
     """
     spark = docs.sparkSession
+    prepare(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     profile = materialize(texts.mapInArrow(_profile(width), _PROFILE), "jac-profile")
-    own = profile.where("chunk is null").select("id", "n", "h1", "h2")
+    own = materialize(profile.where("chunk is null").select("id", "n", "h1", "h2"), "jac-own")
     sketch = spark.sparkContext.broadcast(build_sketch(profile))
+    drop_table(profile)
 
-    # Equal sets are one class, named by its least id; nothing has to be verified for them.
+    # Equal sets are one class, a node named by its least id; nothing has to be verified for them.
     named = own.where("id is not null and n > 0")
-    leasts = materialize(named.groupBy("n", "h1", "h2").agg(F.min("id").alias("least")), "jac-least")
-    classes = materialize(named.join(leasts, ["n", "h1", "h2"]).select("id", "least").distinct(), "jac-classes")
-
-    # Stars: within tasks, then over the tasks' leaders.
-    found = materialize(texts.where("id is not null").mapInArrow(_leaders(sketch, width, percent), "token long, rank long, a long, b long"), "jac-leaders")
-    heads = found.where("token is not null").select("token", "rank", "a")
-    tops = heads.groupBy("token").agg(F.min(F.struct("rank", "a")).alias("top"), F.count("*").alias("heads")).where("heads > 1")
-    tops = materialize(tops.select("token", F.col("top.a").alias("top")), "jac-tops")
-    stars = heads.join(tops, "token").where("a <> top").select(F.col("top").alias("a"), F.col("a").alias("b"))
-    edges = materialize(_of_classes(found.where("token is null").select("a", "b").unionByName(stars).distinct(), classes), "jac-edges")
-
-    # Texts of the classes that have a candidate, read once more.
-    alive = materialize(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "jac-alive")
-    bodies = materialize(texts.join(alive.hint("merge"), "id", "left_semi"), "jac-texts")
-    # A partner is among them, so from here on a token is rare if it is so among them.
-    narrower = materialize(bodies.mapInArrow(_profile(width), _PROFILE).where("chunk is not null"), "jac-profile2")
-    sketch = spark.sparkContext.broadcast(build_sketch(narrower))
-    check = _verify(sketch, width, percent)
-    links = _verified(edges, bodies, check)
-    tested = edges
+    leasts = materialize(named.groupBy("n", "h1", "h2").agg(F.min("id").alias("node")), "jac-least")
+    classes = materialize(named.join(leasts, ["n", "h1", "h2"]).select("id", "node", "h1").distinct(), "jac-classes")
+    drop_table(leasts)
+
+    schema = f"token long, id long, rank int, reach int, n long, h1 long, {', '.join(f'{c} long' for c in _SIGNATURE)}, text string"
+    found = materialize(texts.where("id is not null").mapInArrow(_candidates(sketch, width, percent), schema), "jac-found")
+    sketch.destroy()
+    # Tokens that more than one row has, without the rows that reach none of the token's sizes.
+    rows = found.where("token is not null").select("token", "id", "rank", "reach", F.col("n").cast("int").alias("n"))
+    several = rows.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("n").alias("least")).where("low < high").select("token", "least")
+    several = materialize(several, "jac-several")
+    useful = rows.drop("n").join(several.hint("merge"), "token").where("reach >= least").select("token", "id", "rank")
+    members = materialize(useful.join(classes.select("id", "node"), "id").select("token", "node", "rank").distinct(), "jac-members")
+    drop_table(several)
+    bodies = materialize(_bodies(found.where("token is null").drop("token", "rank", "reach"), classes, members), "jac-bodies")
+    drop_table(found)
+
+    stars = members.groupBy("token").agg(F.min(F.struct("rank", "node")).alias("top"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    stars = materialize(stars.select("token", F.col("top.node").alias("top")), "jac-tops")
+    pairs = members.join(stars, "token").where("node <> top").select(F.least("node", "top").alias("a"), F.greatest("node", "top").alias("b")).distinct()
+    tested = materialize(_passing(pairs, bodies, percent), "jac-edges")
+    drop_table(stars)
+    # Rows that share an id are one, so their classes are linked.
+    shared = classes.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("id", "a")
+    same = materialize(classes.join(shared, "id").where("node <> a").select("a", F.col("node").alias("b")).distinct(), "jac-same")
+    links = same.unionByName(_verified(tested, bodies, width, percent))
 
     # What shares a prefix token but lies in different components.
-    members = materialize(bodies.mapInArrow(_members(sketch, width, percent), "token long, id long, n long, common long").distinct(), "jac-members")
+    components = materialize(connected_components(links), "jac-components")
     for number in range(STAR_ROUNDS + 1):
-        components = materialize(connected_components(links), "jac-components")
-        placed = members.join(components, members["id"] == components["node"], "left").select("token", "id", "n", "common", F.coalesce("component", "id").alias("component"))
-        open_tokens = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("id", F.xxhash64("id", F.lit(number))).alias("pivot"))
-        open_tokens = materialize(open_tokens.where("low < high").select("token", "pivot"), "jac-open")
-        if open_tokens.isEmpty():
+        placed = members.join(components, "node", "left").select("token", "node", F.coalesce("component", "node").alias("component"))
+        placed = materialize(placed, "jac-placed")
+        open_tokens = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
+        open_tokens = materialize(open_tokens, "jac-open")
+        rest = materialize(placed.join(open_tokens, "token", "left_semi"), "jac-rest")
+        drop_table(placed)
+        drop_table(open_tokens)
+        if rest.isEmpty():
             break
-        rest = materialize(placed.join(open_tokens, "token"), "jac-rest")
-        centre = rest.where("id = pivot") if number < STAR_ROUNDS else rest
-        centre = centre.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("common").alias("ca"), F.col("component").alias("ka"))
-        # Sizes must allow the similarity, and so must the tokens that others can have.
-        allows = f"{percent} * greatest(n, na) <= 100 * least(n, na) and {percent} * (n + na) <= {100 + percent} * least(common, ca)"
-        pairs = rest.join(centre, "token").where("component <> ka and id <> a").where(allows)
-        pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        fresh_pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "jac-pairs")
-        more = _verified(fresh_pairs, bodies, check)
-        links, tested = links.unionByName(more), tested.unionByName(fresh_pairs)
-    components = materialize(connected_components(links), "jac-components")
-    whole = classes.join(components, classes["least"] == components["node"], "left").select("id", F.coalesce("component", "least").alias("component"))
+        if number < STAR_ROUNDS:
+            pivots = materialize(rest.groupBy("token").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(number))).alias("pivot")), "jac-pivots")
+            pairs = rest.join(pivots, "token").where("component <> pivot.component")
+            pairs = _passing(pairs.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct(), bodies, percent)
+        else:
+            pairs = _across(rest, bodies, percent)
+        untested = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "jac-pairs")
+        drop_table(rest)
+        more, tested = _verified(untested, bodies, width, percent), tested.unionByName(untested)
+        if not more.isEmpty():
+            # Links between components, and what each node is in, say it all.
+            links = components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
+            components = materialize(connected_components(links), "jac-components")
+    whole = classes.join(components, "node", "left").select("id", F.coalesce("component", "node").alias("component"))
     # A class is in one component; its least id may differ from that of the rows that share an id.
     whole = materialize(whole.groupBy("id").agg(F.min("component").alias("component")), "jac-whole")
+    drop_table(bodies)
     joined = own.select("id", F.col("n").alias("n_shingles")).join(whole, "id", "left")
     return joined.select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
 
-def _of_classes(edges: DataFrame, classes: DataFrame) -> DataFrame:
-    """Edges between documents as distinct edges between their classes, a < b."""
-    of_a, of_b = classes.select(F.col("id").alias("a"), F.col("least").alias("la")), classes.select(F.col("id").alias("b"), F.col("least").alias("lb"))
-    return edges.join(of_a, "a").join(of_b, "b").where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
+def _bodies(found: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
+    """Size, signature and text of each class that shares a token: ``node, n, signature, text``.
 
+    Of rows of one class, which have equal sets, the one of the least id.
+    """
+    wanted = members.select("node").distinct()
+    of = found.join(classes, ["id", "h1"]).join(wanted, "node", "left_semi").drop("h1")
+    firsts = of.groupBy("node").agg(F.min("id").alias("id"))
+    return of.join(firsts, ["node", "id"], "left_semi").drop("id").dropDuplicates(["node"])
+
+
+def _passing(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` of nodes whose sizes and signatures allow a link."""
+    small = bodies.select("node", "n", *_SIGNATURE)
+    x, y = small.alias("x"), small.alias("y")
+    return pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(_filters(percent, "x", "y")).select("a", "b")
 
-def _verified(pairs: DataFrame, bodies: DataFrame, check) -> DataFrame:
+
+def _across(rest: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of nodes in different components that share a token and pass every filter.
+
+    A token's largest component is its home. What lies outside is paired with the home and with
+    each other, so no pair within a component and none of the home's many rows is looked at.
+    """
+    sizes = rest.groupBy("token", "component").agg(F.count("*").alias("size"))
+    home = materialize(sizes.groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("home")), "jac-home")
+    lists = rest.groupBy("node").agg(F.count("*").alias("k"), F.collect_list("token").alias("tokens"))
+    lists = lists.select("node", F.when(F.col("k") <= LISTED, F.col("tokens")).alias("tokens"))
+    full = rest.join(lists, "node").join(bodies.select("node", "n", *_SIGNATURE), "node").join(home, "token")
+    full = materialize(full.withColumn("inside", F.expr("component = home")).drop("home"), "jac-rows")
+    x, y = full.where("not inside").alias("x"), full.alias("y")
+    first = F.expr("coalesce(array_min(array_intersect(x.tokens, y.tokens)) = x.token, true)")
+    apart = F.expr("x.token = y.token and x.component <> y.component and (y.inside or x.node < y.node)")
+    pairs = x.join(y, apart & _filters(percent, "x", "y") & first)
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, bodies: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs that are links, written out. A centre's text goes with each of its pairs."""
-    of_a, of_b = bodies.select(F.col("id").alias("a"), F.col("text").alias("ta")), bodies.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    both = pairs.select("a", "b").join(of_a.hint("merge"), "a").join(of_b.hint("merge"), "b").select("a", "b", "ta", "tb")
-    return materialize(both.mapInArrow(check, "a long, b long").distinct(), "jac-links")
+    of_a, of_b = bodies.select(F.col("node").alias("a"), F.col("text").alias("ta")), bodies.select(F.col("node").alias("b"), F.col("text").alias("tb"))
+    both = pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "ta", "tb")
+    return materialize(both.mapInArrow(_verify(width, percent), "a long, b long").distinct(), "jac-links")
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` without those of a component whose smallest id is another one.
 
-    Rows with a null id stay, and of repeated rows all or none.
+    Rows with a null id stay, and of repeated rows all or none. All columns stay as they are.
+    Only rows that may have to go are shuffled: those whose id has a mark of a dropped one.
     """
-    node, component = fresh(docs, "_node", "_component")
+    node, marked = fresh(docs, "_node", "_marked")
     found = similar_components(docs, id_col, text_col, width, percent)
     gone = materialize(found.where("id <> component_id").select(F.col("id").alias(node)).distinct(), "jac-gone")
-    return docs.join(gone.hint("merge"), docs[id_col] == gone[node], "left_anti")
+    flagged = with_mark(docs, marks(gone, node), marked, F.col(id_col).cast("long"))
+    maybe = flagged.where(F.col(marked)).drop(marked)
+    return flagged.where(~F.col(marked)).drop(marked).unionByName(maybe.join(gone.hint("merge"), maybe[id_col] == gone[node], "left_anti"))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Bytes of text handled at once; a longer text is handled alone.
+#: Bytes of text handled at once; a longer text is alone, its words hashed piece by piece.
 BUFFER_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -54,17 +54,43 @@ def shingle_sets(texts: list[bytes], width: int = 5) -> Iterator[tuple[int, np.n
         yield first, *_sets(held, width)
 
 
-def _sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    data = _LOWER[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
-    ends_at = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of each word of lower-cased bytes that end in a blank."""
     blank = _BLANK[data]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], blank)).astype(np.int8)))
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
-        return np.zeros(len(texts), np.int64), np.zeros(0, np.uint64)
+        return starts, np.zeros(0, np.uint64)
     # A word's bytes are digits of a number; sums over prefixes give it for any stretch.
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(data)))))
-    words = mix((sums[ends] - sums[starts]) * _power(_INVERSE, len(data))[starts] + (ends - starts).astype(np.uint64))
+    return starts, mix((sums[ends] - sums[starts]) * _power(_INVERSE, len(data))[starts] + (ends - starts).astype(np.uint64))
+
+
+def _pieces(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(place, part) of long data, cut behind blanks; a word longer than a buffer stays whole."""
+    at = 0
+    while at < len(data):
+        upto = at + BUFFER_BYTES
+        while upto < len(data):
+            blanks = np.flatnonzero(_BLANK[data[max(at, upto - BUFFER_BYTES) : upto]])
+            if len(blanks):
+                upto = max(at, upto - BUFFER_BYTES) + int(blanks[-1]) + 1
+                break
+            upto += BUFFER_BYTES
+        yield at, data[at:upto]
+        at = upto
+
+
+def _sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    data = _LOWER[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
+    ends_at = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+    if len(data) <= BUFFER_BYTES + 1:
+        starts, words = _words(data)
+    else:
+        found = [(at + s, w) for at, part in _pieces(data) for s, w in [_words(part)]]
+        starts, words = (np.concatenate(x) for x in zip(*found, strict=True))
+    if not len(starts):
+        return np.zeros(len(texts), np.int64), np.zeros(0, np.uint64)
     owner = np.searchsorted(ends_at, starts, side="right")
     count = np.bincount(owner, minlength=len(texts))
     hashes = np.zeros(len(words), np.uint64)

@@ -2,24 +2,57 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Units (characters or bytes) that one buffer holds at most, besides separators.
 BUFFER_UNITS = 1 << 18
 
 
-#: Rows of an Arrow batch whose texts are Python objects at the same time.
-SLICE_ROWS = 512
+#: glibc's call for that, where there is one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+#: Rows of an Arrow batch, and about the bytes, whose texts are Python objects at the same time.
+SLICE_ROWS, SLICE_BYTES = 512, 8 << 20
+
+
+def _give_back() -> None:
+    """Hand freed memory back to the system: workers are used again and would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in short pieces, so that few texts are copied at a time."""
+    """The batches in short pieces, so that few texts are copied at a time; a longer text is alone.
+
+    When the last is done, memory that the task has freed goes back to the system.
+    """
+    try:
+        yield from _slices(batches)
+    finally:
+        _give_back()
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE_ROWS):
-            yield batch.slice(at, SLICE_ROWS)
+        sizes = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type):
+                sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        at, held = 0, 0
+        for i, size in enumerate(sizes.tolist()):
+            if i > at and (i - at >= SLICE_ROWS or held + size > SLICE_BYTES):
+                yield batch.slice(at, i - at)
+                at, held = i, 0
+            held += size
+        if batch.num_rows > at:
+            yield batch.slice(at)
 
 
 class Buffer:

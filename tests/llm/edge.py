@@ -17,6 +17,7 @@ ROWS = [
     (None, None, None, None),
     (9, "1234 é😀 ÀÉ", "fr", "s"),
     (10, "!!!", "en", "s"),
+    (11, "² ½ ①", "en", "s"),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string"
 #: Columns that operators use inside or return.

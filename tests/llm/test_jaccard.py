@@ -50,8 +50,10 @@ def families():
     return rows
 
 
-@pytest.mark.parametrize("task_rows", [2_000_000, 50])
-def test_against_brute_force(spark, monkeypatch, task_rows):
+@pytest.mark.parametrize(("task_rows", "rounds"), [(2_000_000, 2), (50, 0)])
+def test_against_brute_force(spark, monkeypatch, task_rows, rounds):
+    monkeypatch.setattr(jaccard, "STAR_ROUNDS", rounds)
+    monkeypatch.setattr(jaccard, "LISTED", 256 if rounds else 4)
     monkeypatch.setattr(jaccard, "TASK_ROWS", task_rows)
     rows = families()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
@@ -65,7 +67,41 @@ def test_edge_rows(spark):
     assert found == sorted(str((i, len(shingles(t)), None if i is None else expected[i][1])) for i, t, *_ in ROWS)
     kept = jaccard.drop_similar(docs(spark))
     assert kept.columns == docs(spark).columns
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "3", "4", "5", "6", "7", "9", "10", "None", "None"])
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "3", "4", "5", "6", "7", "9", "10", "11", "None", "None"])
+
+
+def test_rows_that_share_an_id_are_one(spark):
+    a, b, c = ("one two three four five six", "seven eight nine ten eleven twelve", "a b c d e f g h")
+    df = spark.createDataFrame([(5, a), (5, b), (9, a), (3, b), (7, c)], "doc_id long, text string")
+    assert {r["id"]: r["component_id"] for r in jaccard.similar_components(df).collect()} == {5: 3, 9: 3, 3: 3, 7: 7}
+
+
+def test_long_texts(spark):
+    """Texts beyond a buffer have the sets that they have word by word, and are linked."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(400_000)]
+    long = " ".join(words) + " " + "x" * 1_500_000
+    near = " ".join(words[:390_000])
+    [(_, sizes, hashes)] = shingle_sets([long.encode()])
+    assert sizes.tolist() == [len(shingles(long))] and len(np.unique(hashes)) == len(hashes)
+    df = spark.createDataFrame([(1, long), (2, near), (3, "y " + near), (4, "short text")], "doc_id long, text string")
+    assert {r["id"]: r["component_id"] for r in jaccard.similar_components(df).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
+def test_filters_let_every_link_pass(spark):
+    rows = [(i, t) for i, t in families() if i % 3]
+    sketch = jaccard.Sketch(np.full(1 << jaccard.CELL_BITS - 2, 255, np.uint8), np.zeros(1 << jaccard.COARSE_BITS, np.uint8))
+    [(_, sizes, hashes)] = shingle_sets([t.encode() for _, t in rows])
+    columns = jaccard._signatures(sizes, hashes, sketch, 75)
+    sets = [shingles(t) for _, t in rows]
+    unlike = 0
+    df = spark.createDataFrame([(i, int(sizes[i]), *[int(c[i]) for c in columns]) for i in range(len(rows))], ["i", "n", *jaccard._SIGNATURE])
+    passing = {(r[0], r[1]) for r in df.alias("x").join(df.alias("y"), jaccard._filters(75, "x", "y")).select("x.i", "y.i").collect()}
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert 100 * len(a & b) < 75 * len(a | b) or (i, j) in passing
+            unlike += (i, j) not in passing
+    assert unlike > 0.5 * len(sets) ** 2
 
 
 def test_empty_table(spark):
