@@ -9,8 +9,9 @@ scored one. Each shard has at most ``SHARD_ENTRIES`` entries, and is joined to t
 all documents from a broadcast hash table, so memory is bounded at any size of the corpus.
 
 A model knows the texts that it was learned from, so their perplexities say little about those
-of other texts. Limits therefore come from trusted documents scored out of fold: texts fall into
-FOLDS by hash, and each fold is scored by a model of the others. Grams are counted once, by fold.
+of other texts. Limits therefore are quantiles, language by language, over trusted documents
+scored out of fold: texts fall into FOLDS by hash, and each fold is scored by a model of the
+others. Grams are counted once, by fold.
 """
 
 from __future__ import annotations
@@ -24,18 +25,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, fresh, materialize
+from .common import drop_table, fresh, marks, materialize, prepare, with_mark
 from .textbuf import buffers, slices
 
 ORDER = 5
 #: Entries of a broadcast shard (16 bytes each in a table that is at most half full: 128 MB).
 SHARD_ENTRIES = 4_000_000
 #: Distinct n-grams that a counting task holds before it hands them on.
-TASK_GRAMS = 2_000_000
-#: A document is rejected if its log perplexity is above that of the median trusted document
-#: of its language by more than SPREAD times the distance from there to the HIGH quantile.
-#: This distance is averaged with a safe wider one that counts like LEAST_DOCS documents.
-HIGH, SPREAD, LEAST_DOCS, CERTAIN = 0.9, 4.0, 30, 2.0
+TASK_GRAMS = 1_000_000
+#: A document is rejected if its log perplexity is above the HIGH quantile of the trusted
+#: documents of its language. The quantile's distance from their median is averaged with a safe
+#: wider one that counts like LEAST_DOCS documents.
+HIGH, LEAST_DOCS, CERTAIN = 0.99, 30, 2.0
 #: Parts of the trusted texts, each scored by a model of the others; copies fall into one.
 FOLDS = 2
 _PAD = b"\xff"  # never in UTF-8
@@ -228,6 +229,7 @@ def log_perplexity(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", te
     over the bytes. Texts that are null or empty have no row; repeated rows have one.
     """
     spark = docs.sparkSession
+    prepare(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text")).where(F.length("text") > 0)
     parts = []
     pairs = shards(model, entries)
@@ -267,11 +269,11 @@ def _scorer(shared):
     return score
 
 
-def thresholds(trusted: DataFrame, high: float = HIGH, spread: float = SPREAD, least: int = LEAST_DOCS) -> tuple[DataFrame, float | None]:
+def thresholds(trusted: DataFrame, high: float = HIGH, least: int = LEAST_DOCS) -> tuple[DataFrame, float | None]:
     """From ``lang, loss`` of trusted documents scored out of fold: ``lang, limit`` and the loosest limit.
 
-    Few documents say little about how far losses spread, so a language's distance from median to
-    quantile is averaged, by its number of documents against ``least``, with the widest among
+    The limit is the ``high`` quantile. Few documents say little about it, so its distance from
+    the median is averaged, by the number of documents against ``least``, with the widest among
     its own, that of all documents together and those of languages with ``least`` documents.
     """
     quantiles = F.percentile_approx("loss", F.array(F.lit(0.5), F.lit(high)), 10_000).alias("q")
@@ -280,7 +282,7 @@ def thresholds(trusted: DataFrame, high: float = HIGH, spread: float = SPREAD, l
     pooled = trusted.agg(quantiles).select(own).first()[0]
     widest = langs.where(F.col("n") >= least).agg(F.max("own")).first()[0]
     safe = F.greatest("own", F.lit(max(pooled or 0.0, widest or 0.0)))
-    limit = F.col("middle") + spread * (F.col("n") * F.col("own") + least * safe) / (F.col("n") + least)
+    limit = F.col("middle") + (F.col("n") * F.col("own") + least * safe) / (F.col("n") + least)
     limits = langs.select("lang", limit.alias("limit"))
     return limits.where("lang is not null"), limits.agg(F.max("limit")).first()[0]
 
@@ -296,7 +298,7 @@ def _losses_out_of_fold(docs: DataFrame, counted: DataFrame, id_col: str, text_c
     return reduce(DataFrame.unionByName, parts)
 
 
-def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", high: float = HIGH, spread: float = SPREAD) -> DataFrame:
+def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", high: float = HIGH) -> DataFrame:
     """All columns of ``docs`` with ``perplexity, perplexity_limit, kept``.
 
     ``trusted_ids`` (one column ``id``) names the documents that the model and the limits are
@@ -304,26 +306,48 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
     language, or the loosest limit where its language is null, by more than CERTAIN standard
     errors (a short text says little about its perplexity). Of a language that no trusted
     document has, the model knows nothing: there is no limit. A text that is null or empty has
-    no perplexity and isn't kept. Where nothing is trusted, every document that has a text is
-    kept. Repeated rows are judged alike; ids may be null.
+    no perplexity and isn't kept; long ones count whole, buffer by buffer. Where nothing is
+    trusted, every document that has a text is kept. Repeated rows are judged alike; ids may be
+    null; no rows give no rows. No column of the caller is replaced: the new ones are the last
+    three, and one whose name is taken gets a ``_`` before it.
     """
-    clean = docs.drop("perplexity", "perplexity_limit", "kept")
-    id_, digest, loss, error, lang, limit = fresh(clean, "_id", "_digest", "_loss", "_error", "_lang", "_limit")
-    own_digest = fresh(clean, "_own_digest")[0]
+    own = docs.columns
+    perplexity, perplexity_limit, kept = fresh(docs, "perplexity", "perplexity_limit", "kept")
+    id_, digest, loss, error, lang, limit, own_digest = fresh(docs, "_id", "_digest", "_loss", "_error", "_lang", "_limit", "_own_digest")
     trusted_ids = trusted_ids.select(F.col("id").alias(id_)).where(F.col(id_).isNotNull()).distinct()
-    counted = count_folds(docs.select(F.col(id_col).alias(id_), F.col(text_col).alias("text")).join(trusted_ids.hint("merge"), id_, "left_semi"))
+    texts = docs.select(F.col(id_col).alias(id_), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    # Few rows are shuffled that aren't trusted.
+    maybe = with_mark(texts, marks(trusted_ids, id_), "marked", id_).where("marked").drop("marked")
+    trusted = maybe.join(trusted_ids.hint("merge"), id_, "left_semi")
+    counted = count_folds(trusted)
     held_out = _losses_out_of_fold(docs, counted, id_col, text_col).withColumnsRenamed({"id": id_, "digest": digest})
-    langs = docs.select(F.col(id_col).alias(id_), F.xxhash64(text_col).alias(digest), F.col(lang_col).alias("lang"))
+    langs = texts.select(id_, F.xxhash64("text").alias(digest), "lang")
     seen = langs.join(trusted_ids, id_, "left_semi").join(held_out, [id_, digest]).select("lang", "loss")
-    by_lang, loosest = thresholds(materialize(seen, "lm-trusted"), high, spread)
+    by_lang, loosest = thresholds(materialize(seen, "lm-trusted"), high)
     limits = materialize(by_lang.select(F.col("lang").alias(lang), F.col("limit").alias(limit)), "lm-limits")
     model = fit(counted)
     drop_table(counted)
     scored = log_perplexity(docs, model, id_col, text_col)
     losses = materialize(scored.select(F.col("id").alias(id_), F.col("digest").alias(digest), F.col("loss").alias(loss), F.col("error").alias(error)), "lm-losses")
     drop_table(model)
-    keyed = clean.withColumn(own_digest, F.xxhash64(text_col))
+    keyed = docs.withColumn(own_digest, F.xxhash64(text_col))
     judged = keyed.join(losses.hint("merge"), keyed[id_col].eqNullSafe(losses[id_]) & (keyed[own_digest] == losses[digest]), "left").join(limits, keyed[lang_col] == limits[lang], "left")
     most = F.when(keyed[lang_col].isNull(), F.lit(loosest).cast("double")).otherwise(F.col(limit))
-    kept = F.when(F.col(loss).isNull(), F.lit(False)).otherwise(F.coalesce(F.col(loss) - CERTAIN * F.col(error) <= most, F.lit(True)))
-    return judged.select(*[keyed[c] for c in clean.columns], F.exp(loss).alias("perplexity"), F.exp(most).alias("perplexity_limit"), kept.alias("kept"))
+    good = F.when(F.col(loss).isNull(), F.lit(False)).otherwise(F.coalesce(F.col(loss) - CERTAIN * F.col(error) <= most, F.lit(True)))
+    return judged.select(*[keyed[c] for c in own], F.exp(loss).alias(perplexity), F.exp(most).alias(perplexity_limit), good.alias(kept))
+
+
+def keep_good(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", high: float = HIGH) -> DataFrame:
+    """The rows of ``docs`` that :func:`classify` keeps, with all their columns.
+
+    Only rows that may have to go are shuffled: those whose id has a mark of a rejected one.
+    """
+    id_, digest, marked, own = fresh(docs, "_id", "_digest", "_marked", "_own_digest")
+    judged = classify(docs.select(id_col, text_col, lang_col), trusted_ids, id_col, text_col, lang_col, high)
+    gone = judged.where(~F.col(judged.columns[-1])).select(F.col(id_col).alias(id_), F.xxhash64(text_col).alias(digest), F.col(lang_col).alias("lang"))
+    gone = materialize(gone.distinct(), "lm-gone")
+    flagged = with_mark(docs, marks(gone, id_), marked, id_col)
+    maybe = flagged.where(F.col(marked)).drop(marked).withColumn(own, F.xxhash64(text_col))
+    same = maybe[id_col].eqNullSafe(gone[id_]) & (maybe[own] == gone[digest]) & maybe[lang_col].eqNullSafe(gone["lang"])
+    left = maybe.join(gone.hint("merge"), same, "left_anti").drop(own)
+    return flagged.where(~F.col(marked)).drop(marked).unionByName(left)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from seqlake.llm import quality
 
-from .edge import docs, empty
+from .edge import CLASHING, docs, empty
 
 TRUSTED = ["the cat sat on the mat and the dog sat on the log", "a cat and a dog sat there", "the end", "café au lait et thé", "on and on and on the cat went"] * 2
 
@@ -105,11 +105,16 @@ def test_junk_goes_and_clean_text_stays(spark):
 def test_edge_rows(spark):
     trusted = spark.createDataFrame([(1,), (2,), (6,), (None,), (1,)], "id long")
     found = quality.classify(docs(spark), trusted)
-    assert found.count() == docs(spark).count()
-    kept = {(r["doc_id"], r["text"]): r["kept"] for r in found.collect()}
+    assert found.count() == docs(spark).count() and found.columns[-3:] == ["perplexity", "perplexity_limit", "_kept"]
+    rows = found.collect()
+    assert all(r[c] == "x" for r in rows for c in CLASHING)
+    kept = {(r["doc_id"], r["text"]): r["_kept"] for r in rows}
+    good = quality.keep_good(docs(spark), trusted)
+    assert good.columns == docs(spark).columns
+    assert sorted(str(tuple(r)) for r in good.collect()) == sorted(str(tuple(r[: len(good.columns)])) for r in rows if r["_kept"])
     assert kept[3, ""] is False and kept[4, None] is False and kept[1, "The quick brown fox jumps over the lazy dog"] is True
     nothing = quality.classify(docs(spark), trusted.limit(0))
-    assert {r["kept"] for r in nothing.where("length(text) > 0").collect()} == {True}
+    assert {r["_kept"] for r in nothing.where("length(text) > 0").collect()} == {True}
     assert quality.classify(empty(spark), trusted).count() == 0
 
 
@@ -131,8 +136,40 @@ def test_limits_of_thin_languages_and_of_none(spark):
     rows = [("en", 1.0 + i / 1000) for i in range(100)] + [("es", 2.0), ("es", 2.01)]
     by_lang, loosest = quality.thresholds(spark.createDataFrame(rows, "lang string, loss double"))
     limits = dict(by_lang.collect())
-    # Two documents alone would say 2.0 + 4 * 0.01.
+    # Two documents alone would say 2.01.
     assert limits["es"] > 2.1 and loosest == limits["es"]
     texts = spark.createDataFrame([(i, "a cat and a dog sat there", "en") for i in range(40)] + [(99, "ÄÖÜ ÄÖÜ xq" * 9, "de"), (98, "ÄÖÜ ÄÖÜ xq" * 9, "en")], "doc_id long, text string, lang string")
     kept = {r["doc_id"]: r["kept"] for r in quality.classify(texts, texts.where("doc_id < 40").select(F.col("doc_id").alias("id"))).collect()}
     assert kept[99]
+
+
+def test_limits_and_verdicts_against_brute_force(spark):
+    """Every trusted text scored by a plain model of the other fold; quantiles by sorting."""
+    rng = np.random.RandomState(3)
+    words = {"en": ["the", "cat", "dog", "sat", "mat", "on", "and", "log"], "de": ["der", "hund", "und", "die", "katze", "sitzt", "auf"]}
+    rows = [(i, " ".join(rng.choice(words[lang], rng.randint(4, 14))), lang) for i, lang in enumerate(["en"] * 34 + ["de"] * 14)]
+    rows += [(100, "Zq%% Xw## Vk$$ Jj!! " * 4, "en"), (101, "the cat sat on the log", "en"), (102, "der hund sitzt", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r for r in quality.classify(df, df.where("doc_id < 100").select(F.col("doc_id").alias("id"))).collect()}
+    fold = {r["doc_id"]: r["f"] for r in df.select("doc_id", quality.fold_of(F.xxhash64("text")).alias("f")).collect()}
+
+    def cost(p, text):
+        data = b"\xff" * 4 + text.encode()
+        costs = [-math.log(p(data[j - 4 : j + 1])) for j in range(4, len(data))]
+        return np.mean(costs), np.std(costs) / math.sqrt(len(costs))
+
+    others = [reference([t for i, t, _ in rows if i < 100 and fold[i] != f]) for f in range(2)]
+    held = [(lang, cost(others[fold[i]], text)[0]) for i, text, lang in rows if i < 100]
+    at = lambda values, q: sorted(values)[math.ceil(q * len(values)) - 1]
+    spread = lambda values: at(values, quality.HIGH) - at(values, 0.5)
+    by = {lang: [x for y, x in held if y == lang] for lang in words}
+    widest = max(spread([x for _, x in held]), spread(by["en"]))
+    limits = {lang: at(v, 0.5) + (len(v) * spread(v) + quality.LEAST_DOCS * max(spread(v), widest)) / (len(v) + quality.LEAST_DOCS) for lang, v in by.items()}
+    whole = reference([t for i, t, _ in rows if i < 100])
+    for i, text, lang in rows:
+        loss, error = cost(whole, text)
+        limit = limits.get(lang, max(limits.values()))
+        assert math.log(found[i]["perplexity"]) == pytest.approx(loss, rel=1e-3, abs=1e-3)
+        assert math.log(found[i]["perplexity_limit"]) == pytest.approx(limit, rel=1e-3, abs=1e-3)
+        assert found[i]["kept"] == (loss - quality.CERTAIN * error <= limit)
+    assert not found[100]["kept"] and found[101]["kept"]
