@@ -2,6 +2,8 @@
 
 Rows are told apart by the cheapest key that does so: first the length of the text, then a
 hash of its prefix, and only what still collides is compared by a hash of the whole text.
+Which rows that are is looked up in a broadcast table of marks of fixed size, so no text is
+shuffled and no other text is hashed; a row that is marked by chance is alone in its group.
 Every step counts groups with map-side aggregation and then joins the counts back, so a
 group that holds a third of all rows is never gathered in one task: AQE splits its join.
 """
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, fresh, materialize
+from .common import ascii_lower, drop_table, fresh, marks, materialize, with_mark
 
 PREFIX_CHARS = 64
 
@@ -25,53 +27,44 @@ def _repeated(keys: DataFrame, by: list[str]) -> DataFrame:
     return keys.groupBy(*by).agg(F.count("*").alias("_n")).where("_n > 1").select(*by)
 
 
-def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows that are alone, rows that share length and prefix hash with another row).
+def _keys(text: Column) -> list[Column]:
+    """Length in bytes and prefix hash. Lower-casing A-Z changes no length."""
+    text = F.coalesce(text, F.lit(""))
+    return [F.octet_length(text).alias("length"), F.xxhash64(ascii_lower(F.substring(text, 1, PREFIX_CHARS))).alias("prefix")]
 
-    Both have ``id, length, prefix``; the second set alone needs a look at whole texts.
-    """
-    norm = _normalised(F.col(text_col))
-    keys = materialize(
-        docs.select(
-            F.col(id_col).alias("id"),
-            F.octet_length(norm).alias("length"),
-            F.xxhash64(F.substring(norm, 1, PREFIX_CHARS)).alias("prefix"),
-        ),
-        "exact-keys",
-    )
+
+def colliding(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``length, prefix`` (of the normalised text) that more than one row has."""
+    keys = materialize(docs.select(*_keys(F.col(text_col))), "exact-keys")
     lengths = materialize(_repeated(keys, ["length"]), "exact-lengths")
-    same_length = keys.join(lengths, "length", "left_semi")
-    prefixes = materialize(_repeated(same_length, ["length", "prefix"]), "exact-prefixes")
-    surviving = keys.join(prefixes, ["length", "prefix"], "left_semi")
-    alone = keys.join(prefixes, ["length", "prefix"], "left_anti")
-    return alone, surviving
+    found = materialize(_repeated(keys.join(lengths, "length", "left_semi"), ["length", "prefix"]), "exact-prefixes")
+    drop_table(keys)
+    drop_table(lengths)
+    return found
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False) -> DataFrame:
     """One row per document: ``id, keep_id, group_size, kept, sha256``.
 
     Texts are equal when they are identical after lower-casing A-Z; a null text counts as
-    empty. Of equal texts the row with the largest id stays. Repeated rows (equal text and
-    equal id) count one by one and exactly one of them stays. A null id sorts below all
-    others, so it stays only in a group whose ids are all null. An empty table gives no row.
+    empty, and long texts count whole. Of equal texts the row with the largest id stays.
+    Repeated rows (equal text and equal id) count one by one and exactly one of them stays. A
+    null id sorts below all others, so it stays only in a group whose ids are all null. An
+    empty table gives no row. Other columns aren't read, so they can't clash.
+
     ``sha256`` is null for rows that the length or the prefix already showed to be alone:
-    their whole text is not read.
+    their whole text is not read, unless ``digest_all`` asks to report it.
     """
-    norm = _normalised(F.col(text_col))
-    alone, surviving = refine(docs, id_col, text_col)
-    wanted = materialize(surviving.groupBy("length", "prefix").agg(F.count("*").alias("_n")), "exact-wanted")
-    full = docs.select(
-        F.col(id_col).alias("id"),
-        norm.alias("_norm"),
-    ).select(
-        "id",
-        F.octet_length("_norm").alias("length"),
-        F.xxhash64(F.substring("_norm", 1, PREFIX_CHARS)).alias("prefix"),
-        "_norm",
-    )
-    hashed = full.join(wanted, ["length", "prefix"], "left_semi").select("id", F.sha2("_norm", 256).alias("sha256"))
-    return group_by_digest(hashed).unionByName(
-        alone.select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lit(None).cast("string").alias("sha256"))
+    prefixes = colliding(docs, text_col)
+    rows = docs.select(F.col(id_col).alias("id"), *_keys(F.col(text_col)), F.col(text_col).alias("text"))
+    digest = F.sha2(_normalised(F.col("text")), 256)
+    rows = with_mark(rows, marks(prefixes, "length", "prefix"), "collides", "length", "prefix")
+    rows = rows.select("id", "collides", (digest if digest_all else F.when(F.col("collides"), digest)).alias("sha256"))
+    rows = materialize(rows, "exact-rows")
+    drop_table(prefixes)
+    alone = rows.where("not collides")
+    return group_by_digest(rows.where("collides").select("id", "sha256")).unionByName(
+        alone.select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha256")
     )
 
 
@@ -90,34 +83,12 @@ def group_by_digest(hashed: DataFrame) -> DataFrame:
     )
 
 
-def exact_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As :func:`exact_groups`, with the digest of every row's whole text.
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that :func:`exact_groups` keeps, with all their columns.
 
-    For callers that report digests: one scan hashes all texts, the refinement runs over the
-    keys, and only rows that share length and prefix hash are grouped by the full hash.
+    Only rows that may have to go are shuffled: those whose id has a mark of a dropped one.
     """
-    norm = _normalised(F.col(text_col))
-    keys = materialize(
-        docs.select(
-            F.col(id_col).alias("id"),
-            F.octet_length(norm).alias("length"),
-            F.xxhash64(F.substring(norm, 1, PREFIX_CHARS)).alias("prefix"),
-            F.sha2(norm, 256).alias("sha256"),
-        ),
-        "exact-keys",
-    )
-    lengths = materialize(_repeated(keys, ["length"]), "exact-lengths")
-    prefixes = materialize(_repeated(keys.join(lengths, "length", "left_semi"), ["length", "prefix"]), "exact-prefixes")
-    surviving = keys.join(prefixes, ["length", "prefix"], "left_semi")
-    alone = keys.join(prefixes, ["length", "prefix"], "left_anti")
-    return group_by_digest(surviving.select("id", "sha256")).unionByName(
-        alone.select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha256")
-    )
-
-
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_groups` keeps, with all their columns."""
-    gone_id, gone_sha, stays, copies = fresh(docs, "_gone_id", "_gone_sha", "_stays", "_copies")
+    gone_id, gone_sha, stays, copies, marked = fresh(docs, "_gone_id", "_gone_sha", "_stays", "_copies", "_marked")
     dropped = materialize(
         exact_groups(docs, id_col, text_col)
         .where("group_size > 1")
@@ -126,10 +97,13 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         .where((F.col(stays) == 0) | (F.col(copies) > 1)),
         "exact-dropped",
     )
+    own = docs.columns
+    flagged = with_mark(docs, marks(dropped, gone_id), marked, id_col)
+    maybe = flagged.where(F.col(marked)).drop(marked)
     # A dropped row is known by id and digest; ids alone could repeat over different texts.
-    same = docs[id_col].eqNullSafe(dropped[gone_id]) & (F.sha2(_normalised(docs[text_col]), 256) == dropped[gone_sha])
-    tagged = docs.join(dropped, same, "left")
-    own = [docs[c] for c in docs.columns]
-    single = tagged.where(F.col(gone_sha).isNull()).select(*own)
-    repeated = tagged.where(F.col(stays) == 1).select(*own, gone_sha).dropDuplicates([gone_sha, id_col]).drop(gone_sha)
-    return single.unionByName(repeated)
+    sha = fresh(maybe, "_sha")[0]
+    digested = maybe.withColumn(sha, F.sha2(_normalised(F.col(text_col)), 256))
+    tagged = digested.join(dropped.hint("merge"), digested[id_col].eqNullSafe(dropped[gone_id]) & (digested[sha] == dropped[gone_sha]), "left")
+    single = tagged.where(F.col(gone_sha).isNull()).select(*[digested[c] for c in own])
+    repeated = tagged.where(F.col(stays) == 1).select(*[digested[c] for c in own], gone_sha).dropDuplicates([gone_sha, id_col]).drop(gone_sha)
+    return flagged.where(~F.col(marked)).drop(marked).unionByName(single).unionByName(repeated)

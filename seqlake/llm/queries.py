@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .embdedup import similar_vectors
-from .exactdedup import exact_digests
+from .exactdedup import exact_groups
 from .jaccard import similar_components
 from .langid import predict, train
 from .mixing import Domains, learn_domains, mix
@@ -17,11 +17,11 @@ from .packing import pack, token_pieces
 from .pii import BASE, find_spans, fit, span_text
 from .quality import classify
 from .warc import archive_pages
-from .urls import MAX_STRENGTH, MIN_STRENGTH, BLOCK_ABOVE, Z, host_of, host_reputation, judge_urls, path_of
+from .urls import ADDRESS, MAX_STRENGTH, MIN_STRENGTH, BLOCK_ABOVE, SUFFIXES, Z, host_of, host_reputation, judge_urls, path_of
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_digests(table(spark, sf_dir, "documents")).withColumnsRenamed({"id": "doc_id", "sha256": "text_sha256"})
+    return exact_groups(table(spark, sf_dir, "documents"), digest_all=True).withColumnsRenamed({"id": "doc_id", "sha256": "text_sha256"})
 
 
 OP7_SQL = """
@@ -42,7 +42,7 @@ def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_spans(docs, fit(docs))
     kinds = F.transform("base_spans", lambda s: s["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(span_text(F.col("base_spans")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(span_text(F.col("base_spans")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 #: Shares of tokens that documents of each kind shall have.
@@ -95,9 +95,16 @@ WITH u AS (
 ), o AS (
   SELECT host, CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NULL OR toxic IS NULL THEN NULL ELSE 0 END AS bad
   FROM p JOIN labels ON doc_id = try_cast(regexp_extract(path, '/([0-9]+)', 1) AS BIGINT)
+), b AS (
+  SELECT host, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad, regexp_replace(host, '^.*@|:[0-9]*$', '', 'g') AS bare
+  FROM o WHERE bad IS NOT NULL GROUP BY host
+), l AS (
+  SELECT *, string_split(bare, '.') AS labels, regexp_matches(bare, '^[0-9]+(\\.[0-9]+){{3}}$') OR bare LIKE '[%' AS address,
+         list_aggregate(string_split(bare, '.')[-2:], 'string_agg', '.') AS two FROM b
 ), h AS (
-  SELECT host, list_aggregate(string_split(host, '.')[-2:], 'string_agg', '.') AS domain, string_split(host, '.')[-1] AS suffix,
-         count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM o WHERE bad IS NOT NULL GROUP BY host
+  SELECT host, n, bad,
+         CASE WHEN address THEN bare WHEN two IN {SUFFIXES} THEN list_aggregate(labels[-3:], 'string_agg', '.') ELSE two END AS domain,
+         CASE WHEN address THEN '{ADDRESS}' WHEN two IN {SUFFIXES} THEN two ELSE labels[-1] END AS suffix FROM l
 ), d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
 s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL),
 ls AS ({_LEVEL_SQL.format(level="s", most=MAX_STRENGTH, least=MIN_STRENGTH)}),

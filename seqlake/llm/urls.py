@@ -23,6 +23,16 @@ RULES: tuple[tuple[str, str, str], ...] = (
     ("example.com", "/de/", "block"),
     ("org", "/fr/", "allow"),
 )
+#: Public suffixes of two labels, below which domains are registered.
+SUFFIXES: tuple[str, ...] = (
+    "ac.jp", "ac.nz", "ac.uk", "co.id", "co.il", "co.in", "co.jp", "co.ke", "co.kr", "co.nz", "co.th", "co.uk", "co.za",
+    "com.ar", "com.au", "com.br", "com.cn", "com.co", "com.eg", "com.hk", "com.mx", "com.my", "com.ng", "com.pe", "com.ph",
+    "com.pk", "com.pl", "com.sa", "com.sg", "com.tr", "com.tw", "com.ua", "com.uy", "com.ve", "com.vn", "edu.au", "edu.cn",
+    "gob.mx", "go.jp", "gov.au", "gov.br", "gov.cn", "gov.in", "gov.uk", "ne.jp", "net.au", "net.br", "net.cn", "or.jp",
+    "or.kr", "org.au", "org.br", "org.cn", "org.uk", "org.nz", "github.io",
+)
+#: What stands for the suffix of an address.
+ADDRESS = "#address"
 #: A host is blocked if its share of bad pages is above this, Z standard deviations of the
 #: posterior taken off. Prior strengths stay within these limits (in pages).
 BLOCK_ABOVE, Z, MIN_STRENGTH, MAX_STRENGTH = 0.5, 1.645, 1.0, 1000.0
@@ -52,13 +62,27 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]])
     return found
 
 
-def domain_of(host: Column) -> Column:
-    """The registered domain: the last two labels."""
-    return F.substring_index(host, ".", -2)
+def _bare(host: Column) -> Column:
+    """The host without user and port."""
+    return F.regexp_replace(host, r"^.*@|:[0-9]*$", "")
 
 
-def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def _is_address(bare: Column) -> Column:
+    return bare.rlike(r"^[0-9]+(\.[0-9]+){3}$") | bare.startswith("[")
+
+
+def domain_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """The registered domain: the public suffix and one label more; an address is its own."""
+    bare = _bare(host)
+    name = F.when(F.substring_index(bare, ".", -2).isin(*suffixes), F.substring_index(bare, ".", -3)).otherwise(F.substring_index(bare, ".", -2))
+    return F.when(_is_address(bare), bare).otherwise(name)
+
+
+def suffix_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """The public suffix: two labels if they are among ``suffixes``, else the last one."""
+    bare = _bare(host)
+    two = F.substring_index(bare, ".", -2)
+    return F.when(_is_address(bare), ADDRESS).when(two.isin(*suffixes), two).otherwise(F.substring_index(bare, ".", -1))
 
 
 def _level(counts: DataFrame) -> tuple[float, float]:
@@ -75,15 +99,17 @@ def _level(counts: DataFrame) -> tuple[float, float]:
     return share, min(MAX_STRENGTH, max(MIN_STRENGTH, (1 - rho) / rho)) if rho > 0 else MAX_STRENGTH
 
 
-def host_reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
+def host_reputation(outcomes: DataFrame, z: float = Z, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """From labelled pages ``host, bad`` (0 or 1): ``host, n, bad, mean, low`` for each host.
 
     ``mean`` and ``low`` are the posterior mean of the share of bad pages and its lower bound.
+    A host is shrunk towards its registered domain, that towards its public suffix; addresses
+    are domains of their own under one suffix, and ports and users don't count for either.
     Rows with a null host or outcome don't count. No outcomes give an empty table.
     """
     valid = outcomes.where("host is not null and bad is not null")
     hosts = materialize(valid.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")), "url-hosts")
-    hosts = hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    hosts = hosts.withColumns({"domain": domain_of(F.col("host"), suffixes), "suffix": suffix_of(F.col("host"), suffixes)})
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     (root, by_suffix), (_, by_domain), (_, by_host) = _level(suffixes), _level(domains), _level(hosts)
@@ -104,7 +130,8 @@ def judge_urls(pages: DataFrame, reputation: DataFrame, id_col: str = "page_id",
     The longest rule that fits decides; without one a page is blocked if its host's ``low``
     is above ``block_above`` and allowed otherwise, also where nothing is known of the host.
     A null url or one without ``://`` has an empty host and path, fits no rule and is allowed.
-    Repeated rows are judged one by one; an empty table gives no rows.
+    Repeated rows are judged one by one; an empty table gives no rows. A long url counts whole.
+    Only the two columns named are read, so others can't clash.
     """
     parsed = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     known = materialize(reputation.select("host", "low"), "url-reputation")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqlake.llm import pii
 
-from .edge import docs, empty
+from .edge import CLASHING, docs, empty
 
 PATTERNS = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
@@ -62,13 +62,47 @@ def test_base_spans_against_brute_force(spark, texts, model):
 
 
 def test_added_spans_are_secrets_and_clean_texts_have_none(spark, model):
-    assert model.trees and model.threshold < float("inf")
+    assert model.trees and set(model.thresholds) == set(pii.KINDS)
     rows = [(1, 'Then token = "1beb58b8af68854f0e01b5a0f2b7c8d9e0f1a2b3" was there'), (2, "Nothing but 12 plain words of 2024 here"), (3, "Antidisestablishmentarianism and co-operation-of-all-people in 1999")]
     found = pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string"), model).orderBy("doc_id").collect()
     assert [s["kind"] for s in found[0]["spans"]] == ["secret"]
     assert found[1]["spans"] == [] and found[2]["spans"] == []
 
 
+def test_planted_cases_of_other_documents(spark, model):
+    """Of cases planted into documents that the trees didn't learn from, nearly all are told apart."""
+    cases = pii.planted(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), sample=2000).where("part = 1")
+    hit = F.expr("exists(spans, x -> x.kind = kind and x.start < `end` and x.end > `start`)").cast("int")
+    found = {(r["kind"], r["label"]): r["hit"] for r in pii.find_spans(cases, model).groupBy("kind", "label").agg(F.avg(hit).alias("hit")).collect()}
+    assert {k for k, _ in found} == set(pii.KINDS)
+    assert all(share > 0.9 if label else share < 0.15 for (_, label), share in found.items()), found
+
+
+def test_scores_against_plain_trees(spark, model):
+    text = 'call (017) 555-7713 or ann (at) mail (dot) org, token = "1beb58b8af68854f0e01b5a0f2b7c8d9e0f1a2b3", 2001:db8:0:1::7, 978-3-1614-8410-0 and co-operation-of-all-people'
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    names = {k: f"l_{k}" for k in pii.LOOSE}
+    row = pii._searched(df, "text", {}, names).select(*[pii._candidates(n, k).alias(n) for k, n in names.items()]).first()
+    expected = []
+    for kind, name in names.items():
+        for c in row[name]:
+            score = model.bias
+            for (root, cut), low, high in model.trees:
+                g, at_most, value, otherwise = low if c[f"f{root}"] <= cut else high
+                score += value if c[f"f{g}"] <= at_most else otherwise
+            expected += [(kind, c["start"], c["end"])] if score >= model.thresholds[kind] else []
+    base_spans = {tuple(s) for s in pii.find_spans(df, pii.Trees()).first()["base_spans"]}
+    spans = [tuple(s) for s in pii.find_spans(df, model).first()["spans"]]
+    assert sorted(set(expected) | base_spans) == sorted(spans)
+    assert {k for k, *_ in expected} >= {"phone", "email", "secret", "ip"}
+
+
+def test_long_text(spark, model):
+    text = "plain words go on " * 1_150_000 + "a@b.co " + "1." * 50_000
+    [row] = pii.find_spans(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).collect()
+    assert [tuple(s) for s in row["base_spans"]] == [("email", 20_700_000, 20_700_006)]
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "mail é a@b.co or +1 (988) 555-2485 now"), (2, None)], "doc_id long, text string")
     done = pii.redact(pii.find_spans(df, pii.Trees())).orderBy("doc_id").collect()
@@ -77,9 +111,10 @@ def test_redaction(spark):
 
 def test_edge_rows(spark, model):
     found = pii.find_spans(docs(spark), model)
-    assert found.count() == docs(spark).count() and set(docs(spark).columns) <= set(found.columns)
+    assert found.count() == docs(spark).count() and found.columns[-2:] == ["base_spans", "_spans"]
+    assert all(r[c] == "x" for r in found.collect() for c in CLASHING)
     assert pii.find_spans(empty(spark), pii.fit(empty(spark))).count() == 0
-    assert pii.fit(docs(spark)).threshold == float("inf")
+    assert pii.fit(empty(spark)).thresholds == {}
 
 
 def test_digest_of_no_spans(spark):

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from seqlake.llm.urls import host_reputation, judge_urls
+from seqlake.llm.urls import domain_of, host_reputation, judge_urls, suffix_of
 
 PAGES = [
     (1, "http://A.example.NET/en/1?x=1#y"), (2, "https://example.net"), (3, "https://notexample.net/en/"), (4, None), (5, "no scheme"), (6, ""),
@@ -45,3 +45,20 @@ def test_no_labels_and_no_pages(spark):
     assert none.count() == 0
     assert judge_urls(pages, none).count() == len(PAGES)
     assert judge_urls(pages.limit(0), none).count() == 0
+
+
+def test_registered_domains(spark):
+    rows = ["a.b.co.uk", "co.uk", "b.co.uk", "x.y.example.com:8080", "user@x.example.com", "10.0.0.1:80", "[2001:db8::1]:443", "localhost", ""]
+    df = spark.createDataFrame([(h,) for h in rows], "host string").select("host", domain_of(F.col("host")).alias("d"), suffix_of(F.col("host")).alias("s"))
+    assert {r["host"]: (r["d"], r["s"]) for r in df.collect()} == {
+        "a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "b.co.uk": ("b.co.uk", "co.uk"),
+        "x.y.example.com:8080": ("example.com", "com"), "user@x.example.com": ("example.com", "com"),
+        "10.0.0.1:80": ("10.0.0.1", "#address"), "[2001:db8::1]:443": ("[2001:db8::1]", "#address"), "localhost": ("localhost", "localhost"), "": ("", ""),
+    }
+
+
+def test_a_hot_site_tells_nothing_of_another_under_the_same_suffix(spark):
+    rows = [("a.bad.co.uk", 1)] * 500 + [("b.bad.co.uk", 1)] * 500 + [(f"h{i}.co.uk", 0) for i in range(300)] + [("new.other.co.uk", 0)]
+    found = {r["host"]: r["mean"] for r in host_reputation(spark.createDataFrame(rows, "host string, bad int")).collect()}
+    apart = {r["host"]: r["mean"] for r in host_reputation(spark.createDataFrame(rows, "host string, bad int"), suffixes=()).collect()}
+    assert found["a.bad.co.uk"] > 0.9 and found["new.other.co.uk"] < apart["new.other.co.uk"]
