@@ -12,13 +12,13 @@ from seqlake.llm.exactdedup import drop_exact_copies
 from seqlake.llm.jaccard import drop_similar
 from seqlake.llm.mixing import mix
 from seqlake.llm.packing import pack, token_pieces
-from seqlake.llm.quality import classify
+from seqlake.llm.quality import keep_good
 from seqlake.llm.queries import TARGET_WEIGHTS, label_domains, trusted_ids, word_vocabulary
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is within the limit of their language."""
-    return classify(docs, trusted_ids(spark, sf_dir)).where("kept").select(*docs.columns)
+    return keep_good(docs, trusted_ids(spark, sf_dir))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
