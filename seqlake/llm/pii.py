@@ -102,6 +102,8 @@ _PLANTED = (
     ("secret", False, "' '", "concat(w, left(w, 6))", "' '"),
     ("secret", False, "' '", "concat(left(w, 6), '-', substring(w, 7, 5), '-', substring(w, 3, 9))", "', '"),
     ("secret", False, "' '", "upper(concat(w, '_', left(w, 4)))", "' '"),
+    ("secret", False, "' '", "initcap(concat(w, substring(w, 2, 3 + int(left(d, 1)))))", "' and'"),
+    ("secret", False, "'the '", "concat(left(w, 2), '-', substring(w, 3, 3 + int(left(d, 1))), '-', substring(w, 2, 2), '-', substring(w, 5, 3), '-', left(w, 6))", "' in'"),
     ("secret", False, "'on '", "concat('2024-05-', 10 + int(left(d, 1)), '-', left(w, 8))", "' '"),
     ("secret", False, "'see '", "concat(left(w, 5), '_', substring(w, 6, 7), '_', left(d, 4))", "' of'"),
 )
@@ -276,7 +278,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     """Fit and calibrate the trees on cases planted into about ``sample`` texts of ``docs``.
 
     A candidate counts if it overlaps a case of its kind. A kind's threshold is the lowest score
-    down to which ``precision`` of its held-out candidates are right. Without candidates of both labels,
+    of a right one down to which ``precision`` of its held-out candidates are right. Without candidates of both labels,
     as in an empty table, nothing is added to the base spans.
     """
     rows, names = planted(docs, id_col, text_col, sample), {k: f"l_{k}" for k in LOOSE}
@@ -296,7 +298,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     right, seen = dict.fromkeys(KINDS, 0), dict.fromkeys(KINDS, 0)
     for value, kind, good, count in sorted(held.groupBy(score, "kind").agg(F.sum("label"), F.count("*")).collect(), reverse=True):
         right[kind], seen[kind] = right[kind] + good, seen[kind] + count
-        if right[kind] >= precision * seen[kind]:
+        if good and right[kind] >= precision * seen[kind]:
             model.thresholds[kind] = value - 0.005
     return model
 
