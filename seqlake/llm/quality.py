@@ -77,7 +77,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _discounts(counts: DataFrame) -> tuple[float, float, float]:
     """Modified Kneser-Ney discounts for counts of one, two and three or more."""
-    have = dict(counts.where("n <= 4").groupBy("n").agg(F.count("*")).toLocalIterator())
+    have = {r[0]: r[1] for r in counts.where("n <= 4").groupBy("n").agg(F.count("*")).collect()}  # at most four rows
     n1, n2, n3, n4 = (have.get(i, 0) for i in (1, 2, 3, 4))
     if not (n1 and n2):
         return 0.5, 0.75, 0.9
