@@ -1,11 +1,16 @@
 """N-gram Jaccard join: prefix filters under several global token orders, then verification.
 
-A document is the set of its word shingles. Pairs of Jaccard similarity t share a token in
-the first n - ceil(t n) + 1 tokens of each, under any global order. The orders here put rare
-tokens first, so that texts without a near copy have no prefix token that another text could
-share. How rare a token is comes from two sketches of fixed size over all documents: cells
-that exactly one token occurrence of the corpus fell into (that token is in no other
-document), and coarse counts that push frequent tokens to the end. Sketches only choose the
+A document is the set of its word shingles. One that is linked with another shares t of its tokens
+with it, so a document with more tokens that no other has is none's neighbour, whatever the order.
+Half of all tokens (by hash) are packed, four bytes each, and dealt by hash to find those; only what
+is left, one text a class of equal sets, goes through the steps below, so their tables grow with
+the copies in a corpus and not with its size.
+
+Pairs of Jaccard similarity t share a token in the first n - ceil(t n) + 1 tokens of each, under any
+global order. The orders here put rare tokens first, so that texts without a near copy have no
+prefix token that another text could share. How rare a token is comes from two sketches of fixed
+size over what is left: cells that exactly one token occurrence of it fell into (that token is in no
+other document), and coarse counts that push frequent tokens to the end. Sketches only choose the
 orders: any order gives right results. Ties are broken by another hash in each order.
 
 Candidates share a prefix token under the first order. Before a text is looked at, a candidate
@@ -23,6 +28,7 @@ first that both have.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,7 +36,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop_table, fresh, marks, materialize, prepare, with_mark
@@ -46,9 +53,11 @@ CELL_BITS, COARSE_BITS = 28, 20
 _CHUNKS = 256
 #: Rows of a chunk that one task adds up.
 _CHUNK_ROWS = 256
-_PROFILE = "id long, n long, h1 long, h2 long, chunk int, cells binary"
-#: Tokens that a task holds before it hands on a sketch of them.
+_PROFILE = "id long, n long, h1 long, h2 long, bucket int, part long, marks binary, owners binary"
+#: Tokens that a task holds before it hands on a sketch, or a part, of them.
 TASK_ROWS = 1_000_000
+#: One of 2^SAMPLE_BITS tokens is looked up to find documents without neighbours, in 2^BUCKET_BITS buckets.
+SAMPLE_BITS, BUCKET_BITS = 1, 9
 #: Rounds of stars over what lies in different components before it is compared.
 STAR_ROUNDS = 1
 #: Open tokens of a document up to which pairs are told apart by their first common one. Pairs
@@ -123,9 +132,111 @@ def _unpack(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(np.uint32).ravel()
 
 
-def _profile(width: int):
-    """Rows of documents (id, n, h1, h2) and of sketches (chunk, kind, cells)."""
-    names = ["id", "n", "h1", "h2", "chunk", "cells"]
+def _firsts(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """Whether each set is the first of those equal to it."""
+    keep = np.zeros(len(h1), bool)
+    keep[np.unique(np.stack([h1, h2]), axis=1, return_index=True)[1]] = True
+    return keep
+
+
+def _part(tokens: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+    """(bucket, marks, owners) of the sampled tokens: 32 bits of each hash, ascending, and its owner."""
+    key = mix(tokens, 9)
+    own = np.flatnonzero(key >> np.uint64(64 - SAMPLE_BITS) == 0)
+    own = own[np.argsort(key[own])]
+    key, owner = key[own], owner[own]
+    # That a token is in several sets is said by two of its rows.
+    keep = np.ones(len(key), bool)
+    keep[2:] = key[2:] != key[:-2]
+    key, owner = key[keep], owner[keep].astype(np.uint32)
+    width = 64 - SAMPLE_BITS - BUCKET_BITS
+    cut = np.searchsorted(key, np.arange(1, 1 << BUCKET_BITS, dtype=np.uint64) << np.uint64(width))
+    low = (key >> np.uint64(width - 32)).astype(np.uint32)
+    for c, (marks_, owners) in enumerate(zip(np.split(low, cut), np.split(owner, cut), strict=True)):
+        if len(marks_):
+            yield c, _pack(np.diff(marks_, prepend=np.uint32(0))), _pack(owners)
+
+
+def _profile(width: int, percent: int):
+    """Rows of documents (id, n, h1, h2), of buckets of parts (bucket, part, marks, owners) and of
+    parts (part, marks: ids, owners: how many tokens that no other set has rule out a link)."""
+    names = ["id", "n", "h1", "h2", "bucket", "part", "marks", "owners"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        part = TaskContext.get().partitionId() << 32
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            sizes = np.concatenate([x[1] for x in held])
+            rows = [(-1, np.concatenate([x[0] for x in held]).tobytes(), _pack((sizes - least_overlap(sizes, percent) + 1).astype(np.uint32)))]
+            rows += _part(np.concatenate([x[2] for x in held]), np.repeat(np.arange(len(sizes)), sizes))
+            k = len(rows)
+            buckets, first, second = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64())] * 4 + [pa.array(buckets, pa.int32()), pa.array([part] * k, pa.int64()), pa.array(first, pa.binary()), pa.array(second, pa.binary())], names)
+
+        for batch in slices(batches):
+            ids = batch.column(0)
+            for first, sizes, hashes in shingle_sets(_texts(batch.column(1)), width):
+                h1, h2 = _digests(sizes, hashes)
+                k = len(sizes)
+                own = ids.slice(first, k)
+                yield pa.RecordBatch.from_arrays([own, pa.array(sizes, pa.int64()), pa.array(h1), pa.array(h2), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), *[pa.nulls(k, pa.binary())] * 2], names)
+                # Equal sets of this buffer count once: their copies are the same class anyway.
+                keep = (sizes > 0) & own.is_valid().to_numpy(zero_copy_only=False)
+                keep[keep] = _firsts(h1[keep], h2[keep])
+                if keep.any():
+                    held.append((own.filter(pa.array(keep)).to_numpy(zero_copy_only=False).astype(np.int64), sizes[keep], hashes[np.repeat(keep, sizes)]))
+                if sum(len(x[2]) for x in held) >= TASK_ROWS:
+                    yield from packed()
+                    held, part = [], part + 1
+        if held:
+            yield from packed()
+
+    return run
+
+
+def _alone(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of a bucket's rows (part, marks, owners): how many tokens each owner has that no other has."""
+    owners = [_unpack(blob) for blob in rows["owners"]]
+    first = np.concatenate(([0], np.cumsum([int(x.max()) + 1 for x in owners])))
+    tokens = np.concatenate([np.cumsum(_unpack(blob), dtype=np.uint64) << np.uint64(32) | (x + np.uint64(at)) for blob, x, at in zip(rows["marks"], owners, first, strict=False)])
+    tokens.sort()
+    again = tokens[1:] >> np.uint64(32) == tokens[:-1] >> np.uint64(32)
+    alone = np.ones(len(tokens), bool)
+    alone[1:] &= ~again
+    alone[:-1] &= ~again
+    n = np.bincount((tokens[alone] & np.uint64(2**32 - 1)).astype(np.int64), minlength=first[-1]).astype(np.uint32)
+    return pd.DataFrame({"part": rows["part"], "marks": None, "owners": [_pack(x) for x in np.split(n, first[1:-1])]})
+
+
+def _left(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of a part's rows (its ids and limits, and counts by bucket): the ids of fewer lone tokens than their limit."""
+    listed = rows["marks"].notna()
+    [(ids, limits)] = rows.loc[listed, ["marks", "owners"]].itertuples(index=False)
+    limits = _unpack(limits)
+    n = np.zeros(len(limits), np.int64)
+    for blob in rows.loc[~listed, "owners"]:
+        counts = _unpack(blob)
+        n[: len(counts)] += counts
+    return pd.DataFrame({"id": np.frombuffer(ids, np.int64)[n < limits]})
+
+
+def _neighboured(profile: DataFrame) -> DataFrame:
+    """Ids that may have a neighbour: of a linked set, ``percent`` of the tokens are in another one."""
+    schema = "part long, marks binary, owners binary"
+    counts = profile.where("bucket >= 0").select("bucket", "part", "marks", "owners").groupBy("bucket").applyInPandas(_alone, schema)
+    parts = profile.where("bucket < 0").select("part", "marks", "owners")
+    return parts.unionByName(counts).groupBy("part").applyInPandas(_left, "id long")
+
+
+def _tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that are over; else they stay until the driver's heap is full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _cells(width: int):
+    """Rows of sketches (chunk, cells)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -139,22 +250,11 @@ def _profile(width: int):
             blobs = [_pack(np.diff(cells[cut[c] : cut[c + 1]] & np.uint32(step - 1), prepend=np.uint32(0))) for c in range(_CHUNKS)]
             coarse = np.bincount((mix(tokens, 8) >> np.uint64(64 - COARSE_BITS)).astype(np.int64), minlength=1 << COARSE_BITS).astype(np.uint32)
             blobs += [_pack(x) for x in coarse.reshape(_CHUNKS, -1)]
-            k = len(blobs)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64())] * 4 + [pa.array(range(k), pa.int32()), pa.array(blobs, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(blobs)), pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "cells"])
 
         for batch in slices(batches):
-            ids = batch.column(0).to_pylist()
-            for first, sizes, hashes in shingle_sets(_texts(batch.column(1)), width):
-                h1, h2 = _digests(sizes, hashes)
-                k = len(sizes)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[first : first + k], pa.int64()), pa.array(sizes, pa.int64()), pa.array(h1), pa.array(h2), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names
-                )
-                # Equal sets of this buffer count once: their copies are the same class anyway.
-                _, firsts = np.unique(np.stack([h1, h2]), axis=1, return_index=True)
-                keep = np.zeros(k, bool)
-                keep[firsts] = True
-                held.append(hashes[np.repeat(keep, sizes)])
+            for _, sizes, hashes in shingle_sets(_texts(batch.column(1)), width):
+                held.append(hashes[np.repeat(_firsts(*_digests(sizes, hashes)), sizes)])
                 if sum(map(len, held)) >= TASK_ROWS:
                     yield from sketches()
                     held = []
@@ -187,9 +287,9 @@ def _add_chunks(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": [chunk], "listed": [False], "cells": [zstandard.compress(_quads(cells).tobytes(), 1)]})
 
 
-def build_sketch(profile: DataFrame) -> Sketch:
-    """Add up the sketch rows of ``profile``; in two steps if a chunk has very many."""
-    rows = profile.where("chunk is not null").select("chunk", F.lit(True).alias("listed"), "cells")
+def build_sketch(parts: DataFrame) -> Sketch:
+    """Add up the sketch rows of ``parts``; in two steps if a chunk has very many."""
+    rows = parts.select("chunk", F.lit(True).alias("listed"), "cells")
     split = -(-rows.where("chunk = 0").count() // _CHUNK_ROWS)
     schema = "chunk int, listed boolean, cells binary"
     if split > 1:
@@ -250,10 +350,7 @@ def _candidates(shared, width: int, percent: int):
                 has = np.zeros(len(sizes), bool)
                 has[own] = True
                 h1, h2 = _digests(sizes, hashes)
-                _, firsts = np.unique(np.stack([h1, h2]), axis=1, return_index=True)
-                new = np.zeros(len(sizes), bool)
-                new[firsts] = True
-                has &= new
+                has &= _firsts(h1, h2)
                 if not has.any():
                     continue
                 rank = (1000 * (sizes - common) // np.maximum(sizes, 1)).astype(np.int32)
@@ -313,19 +410,30 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     prepare(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    profile = materialize(texts.mapInArrow(_profile(width), _PROFILE), "jac-profile")
-    own = materialize(profile.where("chunk is null").select("id", "n", "h1", "h2"), "jac-own")
-    sketch = spark.sparkContext.broadcast(build_sketch(profile))
+    profile = materialize(texts.mapInArrow(_profile(width, percent), _PROFILE), "jac-profile")
+    own = materialize(profile.where("n is not null").select("id", "n", "h1", "h2"), "jac-own")
+    near = materialize(_neighboured(profile), "jac-near")
     drop_table(profile)
+    _tidy(spark)
 
     # Equal sets are one class, a node named by its least id; nothing has to be verified for them.
     named = own.where("id is not null and n > 0")
     leasts = materialize(named.groupBy("n", "h1", "h2").agg(F.min("id").alias("node")), "jac-least")
     classes = materialize(named.join(leasts, ["n", "h1", "h2"]).select("id", "node", "h1").distinct(), "jac-classes")
     drop_table(leasts)
-
+    # One text of each class that may have a neighbour, and what its marks don't tell from those.
+    wanted = materialize(near.join(classes, "id").select("node").distinct(), "jac-wanted")
+    [marked] = fresh(texts, "marked")
+    texts = with_mark(texts.where("id is not null"), marks(wanted, "node"), marked, "id").where(marked).drop(marked)
+    drop_table(near)
+    drop_table(wanted)
+
+    parts = materialize(texts.mapInArrow(_cells(width), "chunk int, cells binary"), "jac-cells")
+    sketch = spark.sparkContext.broadcast(build_sketch(parts))
+    drop_table(parts)
+    _tidy(spark)
     schema = f"token long, id long, rank int, reach int, n long, h1 long, {', '.join(f'{c} long' for c in _SIGNATURE)}, text string"
-    found = materialize(texts.where("id is not null").mapInArrow(_candidates(sketch, width, percent), schema), "jac-found")
+    found = materialize(texts.mapInArrow(_candidates(sketch, width, percent), schema), "jac-found")
     sketch.destroy()
     # Tokens that more than one row has, without the rows that reach none of the token's sizes.
     rows = found.where("token is not null").select("token", "id", "rank", "reach", F.col("n").cast("int").alias("n"))
@@ -334,8 +442,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     useful = rows.drop("n").join(several.hint("merge"), "token").where("reach >= least").select("token", "id", "rank")
     members = materialize(useful.join(classes.select("id", "node"), "id").select("token", "node", "rank").distinct(), "jac-members")
     drop_table(several)
+    _tidy(spark)
     bodies = materialize(_bodies(found.where("token is null").drop("token", "rank", "reach"), classes, members), "jac-bodies")
     drop_table(found)
+    _tidy(spark)
 
     stars = members.groupBy("token").agg(F.min(F.struct("rank", "node")).alias("top"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     stars = materialize(stars.select("token", F.col("top.node").alias("top")), "jac-tops")

@@ -104,6 +104,34 @@ def test_filters_let_every_link_pass(spark):
     assert unlike > 0.5 * len(sets) ** 2
 
 
+@pytest.mark.parametrize("operator", [jaccard.similar_components, jaccard.drop_similar])
+def test_texts_without_neighbours_leave_no_rows(spark, monkeypatch, operator):
+    """With a sketch that a large corpus has filled up, too, only what may have a neighbour is written out."""
+    full = jaccard.Sketch(np.full(1 << jaccard.CELL_BITS - 2, 255, np.uint8), np.zeros(1 << jaccard.COARSE_BITS, np.uint8))
+    monkeypatch.setattr(jaccard, "build_sketch", lambda parts: full)
+    monkeypatch.setattr(jaccard, "TASK_ROWS", 2000)
+    written, real = {}, jaccard.materialize
+
+    def counted(df, label):
+        out = real(df, label)
+        if label == "jac-found":
+            written[label] = {r["id"] for r in out.select("id").distinct().collect()}
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", counted)
+    rng = random.Random(4)
+    texts = [[f"{rng.randrange(10**6)}" for _ in range(80)] for _ in range(150)]
+    near = [texts[0][:-1], texts[0][1:], texts[1][2:]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts + near + [texts[2]])]
+    found = operator(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    expected = brute(rows)
+    if operator is jaccard.similar_components:
+        assert {r["id"]: (r["n_shingles"], r["component_id"]) for r in found} == expected
+    else:
+        assert {r["doc_id"] for r in found} == {i for i, (_, c) in expected.items() if i == c}
+    assert {0, 1, 150, 151, 152} <= written["jac-found"] and len(written["jac-found"]) <= 10
+
+
 def test_empty_table(spark):
     assert jaccard.similar_components(empty(spark)).count() == 0
     assert jaccard.drop_similar(empty(spark)).count() == 0
