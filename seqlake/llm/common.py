@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .textbuf import give_back
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -63,6 +65,15 @@ def drop_table(df: DataFrame) -> None:
         drop_path(df.sparkSession, path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files and broadcasts of steps that are over, and give back the driver's free memory.
+
+    Else the files stay until the driver's heap is full, and the heap grows with the steps.
+    """
+    give_back()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Bytes of an Arrow batch that a Python worker gets, or a single row if that is larger.
 BATCH_BYTES = 8 << 20
 

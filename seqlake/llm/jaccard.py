@@ -28,7 +28,6 @@ first that both have.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,10 +36,10 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, fresh, marks, materialize, prepare, with_mark
+from .common import drop_table, fresh, marks, materialize, prepare, tidy, with_mark
 from .components import connected_components
 from .shingles import mix, shingle_sets
 from .textbuf import slices
@@ -90,6 +89,27 @@ class Sketch:
         return (rank << np.uint64(58)) | (mix(hashes, 20 + order) >> np.uint64(6)), shared
 
 
+class PackedSketch:
+    """A sketch as the driver has it: compressed chunks of cells, and log2 of coarse counts.
+
+    Pickled, it is loaded as a :class:`Sketch`, so that only workers hold all cells.
+    """
+
+    def __init__(self, chunks: dict[int, bytes], coarse: np.ndarray):
+        self.chunks, self.coarse = chunks, coarse
+
+    def __reduce__(self):
+        return _whole, (self.chunks, zstandard.compress(self.coarse.tobytes(), 1))
+
+
+def _whole(chunks: dict[int, bytes], coarse: bytes) -> Sketch:
+    cells = np.zeros((1 << CELL_BITS) // 4, np.uint8)
+    width = len(cells) // _CHUNKS
+    for c, blob in chunks.items():
+        cells[c * width : (c + 1) * width] = np.frombuffer(zstandard.decompress(blob), np.uint8)
+    return Sketch(cells, np.frombuffer(zstandard.decompress(coarse), np.uint8))
+
+
 def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
     return (percent * n + 99) // 100
 
@@ -229,12 +249,6 @@ def _neighboured(profile: DataFrame) -> DataFrame:
     return parts.unionByName(counts).groupBy("part").applyInPandas(_left, "id long")
 
 
-def _tidy(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps that are over; else they stay until the driver's heap is full."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _cells(width: int):
     """Rows of sketches (chunk, cells)."""
 
@@ -287,24 +301,23 @@ def _add_chunks(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": [chunk], "listed": [False], "cells": [zstandard.compress(_quads(cells).tobytes(), 1)]})
 
 
-def build_sketch(parts: DataFrame) -> Sketch:
+def build_sketch(parts: DataFrame) -> PackedSketch:
     """Add up the sketch rows of ``parts``; in two steps if a chunk has very many."""
     rows = parts.select("chunk", F.lit(True).alias("listed"), "cells")
     split = -(-rows.where("chunk = 0").count() // _CHUNK_ROWS)
     schema = "chunk int, listed boolean, cells binary"
     if split > 1:
         rows = rows.groupBy("chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(split)).alias("_s")).applyInPandas(_add_chunks, schema)
-    cells = np.zeros((1 << CELL_BITS) // 4, np.uint8)
-    coarse = np.zeros(1 << COARSE_BITS, np.uint32)
-    width, narrow = len(cells) // _CHUNKS, len(coarse) // _CHUNKS
+    chunks: dict[int, bytes] = {}
+    coarse = np.zeros((_CHUNKS, (1 << COARSE_BITS) // _CHUNKS), np.uint32)
     for row in rows.groupBy("chunk").applyInPandas(_add_chunks, schema).collect():
         c, blob = row["chunk"], bytes(row["cells"])
         if c < _CHUNKS:
-            cells[c * width : (c + 1) * width] = np.frombuffer(zstandard.decompress(blob), np.uint8)
+            chunks[c] = blob
         else:
-            coarse[(c - _CHUNKS) * narrow : (c - _CHUNKS + 1) * narrow] = _unpack(blob)
+            coarse[c - _CHUNKS] = _unpack(blob)
     usual = max(1.0, coarse.mean())
-    return Sketch(cells, np.clip(np.log2(np.maximum(coarse / usual, 1)), 0, 60).astype(np.uint8))
+    return PackedSketch(chunks, np.concatenate([np.clip(np.log2(np.maximum(x / usual, 1)), 0, 60).astype(np.uint8) for x in coarse]))
 
 
 def _bits(owner: np.ndarray, at: np.ndarray, k: int, longs: int, odd: bool) -> np.ndarray:
@@ -414,7 +427,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     own = materialize(profile.where("n is not null").select("id", "n", "h1", "h2"), "jac-own")
     near = materialize(_neighboured(profile), "jac-near")
     drop_table(profile)
-    _tidy(spark)
+    tidy(spark)
 
     # Equal sets are one class, a node named by its least id; nothing has to be verified for them.
     named = own.where("id is not null and n > 0")
@@ -431,7 +444,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     parts = materialize(texts.mapInArrow(_cells(width), "chunk int, cells binary"), "jac-cells")
     sketch = spark.sparkContext.broadcast(build_sketch(parts))
     drop_table(parts)
-    _tidy(spark)
+    tidy(spark)
     schema = f"token long, id long, rank int, reach int, n long, h1 long, {', '.join(f'{c} long' for c in _SIGNATURE)}, text string"
     found = materialize(texts.mapInArrow(_candidates(sketch, width, percent), schema), "jac-found")
     sketch.destroy()
@@ -442,10 +455,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     useful = rows.drop("n").join(several.hint("merge"), "token").where("reach >= least").select("token", "id", "rank")
     members = materialize(useful.join(classes.select("id", "node"), "id").select("token", "node", "rank").distinct(), "jac-members")
     drop_table(several)
-    _tidy(spark)
+    tidy(spark)
     bodies = materialize(_bodies(found.where("token is null").drop("token", "rank", "reach"), classes, members), "jac-bodies")
     drop_table(found)
-    _tidy(spark)
+    tidy(spark)
 
     stars = members.groupBy("token").agg(F.min(F.struct("rank", "node")).alias("top"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     stars = materialize(stars.select("token", F.col("top.node").alias("top")), "jac-tops")

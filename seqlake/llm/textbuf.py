@@ -20,8 +20,8 @@ _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 SLICE_ROWS, SLICE_BYTES = 512, 8 << 20
 
 
-def _give_back() -> None:
-    """Hand freed memory back to the system: workers are used again and would keep it."""
+def give_back() -> None:
+    """Hand freed memory back to the system: workers are used again and would keep it, as would the driver."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     if _TRIM is not None:
@@ -36,7 +36,7 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     try:
         yield from _slices(batches)
     finally:
-        _give_back()
+        give_back()
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

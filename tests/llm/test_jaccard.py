@@ -1,4 +1,6 @@
+import pickle
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -132,6 +134,23 @@ def test_texts_without_neighbours_leave_no_rows(spark, monkeypatch, operator):
     assert {0, 1, 150, 151, 152} <= written["jac-found"] and len(written["jac-found"]) <= 10
 
 
+def test_driver_holds_no_whole_sketch(spark):
+    """Of few tokens the driver has few bytes; the sketch that workers load has all their cells."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(30))) for i in range(50)] + [(99, " ".join(f"w7x{k}" for k in range(31)))]
+    parts = jaccard.materialize(spark.createDataFrame(rows, "id long, text string").mapInArrow(jaccard._cells(jaccard.WIDTH), "chunk int, cells binary"), "test-cells")
+    jaccard.build_sketch(parts)  # imports and caches aren't counted
+    tracemalloc.start()
+    stored = pickle.dumps(jaccard.build_sketch(parts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20
+    sketch = pickle.loads(stored)
+    expected = np.zeros(1 << jaccard.CELL_BITS, np.uint8)
+    for _, _, hashes in shingle_sets([t.encode() for _, t in rows], jaccard.WIDTH):
+        np.add.at(expected, (jaccard.mix(hashes, 7) >> np.uint64(64 - jaccard.CELL_BITS)).astype(np.int64), 1)
+    assert (sketch.cells == jaccard._quads(np.minimum(expected, 2))).all() and len(sketch.coarse) == 1 << jaccard.COARSE_BITS
+
+
 def test_empty_table(spark):
     assert jaccard.similar_components(empty(spark)).count() == 0
     assert jaccard.drop_similar(empty(spark)).count() == 0

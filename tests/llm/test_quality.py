@@ -1,4 +1,5 @@
 import math
+import os
 from collections import Counter
 
 import numpy as np
@@ -80,6 +81,15 @@ def test_shards_change_nothing(spark, model):
         assert one[i] == pytest.approx(many[i], rel=1e-6)
 
 
+def test_broadcast_models_are_gone_when_scored(spark, model, monkeypatch):
+    kind, sent = type(spark.sparkContext), []
+    real = kind.broadcast
+    monkeypatch.setattr(kind, "broadcast", lambda self, value: sent.append(real(self, value)) or sent[-1])
+    found = losses(spark, model, TEXTS, entries=60)
+    assert len(sent) > 1 and not any(os.path.exists(shared._path) for shared in sent)
+    assert set(found) == {i for i, t in enumerate(TEXTS) if t}
+
+
 def test_probabilities_add_up():
     p = reference(TRUSTED)
     assert sum(p(b"he c" + bytes([b])) for b in range(256)) == pytest.approx(1)
